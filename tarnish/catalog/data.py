@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnish.session import spread
 from tarnish.spec import TableSpec
 
 SPAN_SQL = "281474976710656.0"
@@ -33,7 +34,7 @@ COHORT = TableSpec(
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with the shape of a cohort: ids, measures, 0/1 flags, one category."""
     line = table(spark, sf_dir, "lineitem")
-    return line.select(
+    shaped = line.select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -48,6 +49,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") >= 25).cast("double").alias("bulk"),
         F.col("l_linestatus").alias("status"),
     )
+    return spread(shaped, *COHORT.ids)
 
 
 COHORT_SQL = """cohort AS (

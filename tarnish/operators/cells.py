@@ -66,13 +66,15 @@ def write_cells(
     work: DataFrame, cut: Cut, keys: dict[str, Column], values: dict[str, Column], dimension: str
 ) -> DataFrame:
     """Put the new value and the tag into every cell the cut selects."""
-    marked = work.withColumns({f"__hit_{c}": cut.keeps(k, cell_tie(c)) for c, k in keys.items()})
+    # three projections, so that each key is hashed once and each hit decided once
+    keyed = work.withColumns({f"__key_{c}": k for c, k in keys.items()})
+    marked = keyed.withColumns({f"__hit_{c}": cut.keeps(F.col(f"__key_{c}"), cell_tie(c)) for c in keys})
     changed: dict[str, Column] = {}
     for c in keys:
         hit = F.col(f"__hit_{c}")
         changed[c] = F.when(hit, values[c]).otherwise(F.col(c))
         changed[f"__dim_{c}"] = F.when(hit, F.lit(dimension)).otherwise(F.col(f"__dim_{c}"))
-    return marked.withColumns(changed).drop(*[f"__hit_{c}" for c in keys])
+    return marked.withColumns(changed).drop(*[f"__{kind}_{c}" for c in keys for kind in ("key", "hit")])
 
 
 def as_text(work: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,8 +89,9 @@ def close_cells(work: DataFrame, spec: TableSpec, columns: list[str]) -> Degrade
         for dim in (F.when(F.col(f"__cpy_{c}"), F.lit("uniqueness")), F.col(f"__dim_{c}")):
             cells.append(F.when(dim.isNotNull(), F.struct(F.lit(c).alias("column"), dim.alias("dimension"), *body)))
     touched = (
-        work.select(F.col("__row").alias("row_id"), F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        work.select(F.col("__row").alias("row_id"), F.explode(F.array(*cells)).alias("cell"))
         .select("row_id", "cell.column", "cell.dimension", "cell.before", "cell.after")
+        .filter(F.col("dimension").isNotNull())
     )
     return Degraded(work.select(*columns), touched)
 

@@ -40,6 +40,8 @@ from tarnish.session import staged
 from tarnish.spec import INVALID_FLAG, INVALID_TEXT, TableSpec
 
 SEVERITY_SLOPE = 5.0
+SEVERE = 1.0 / (1.0 + math.exp(-SEVERITY_SLOPE / 2))
+MILD = 1.0 / (1.0 + math.exp(SEVERITY_SLOPE / 2))
 VALIDITY_KINDS = {"typing": 0.6, "bool_ood": 0.4}
 MODE_SHARES = {"noise": 0.6, "bias": 0.3, "impulse": 0.1}
 
@@ -65,11 +67,9 @@ def at_least_one(share: float, cells: int) -> int:
 
 def severity_weight(spec: TableSpec) -> Column:
     """Logistic weight of a row: severe rows lose cells about twelve times as often."""
-    high = 1.0 / (1.0 + math.exp(-SEVERITY_SLOPE / 2))
-    low = 1.0 / (1.0 + math.exp(SEVERITY_SLOPE / 2))
     if spec.severity is None:
         return F.lit(1.0)
-    return F.when(F.col(f"__was_{spec.severity}") == 1, F.lit(high)).otherwise(F.lit(low))
+    return F.when(F.col(f"__was_{spec.severity}") == 1, F.lit(SEVERE)).otherwise(F.lit(MILD))
 
 
 def completeness_keys(spec: TableSpec, seed: int) -> dict[str, Column]:
@@ -77,7 +77,7 @@ def completeness_keys(spec: TableSpec, seed: int) -> dict[str, Column]:
     return {
         c: F.when(
             free(c) & F.col(c).isNotNull(),
-            exponential_rank(unit(wide_bits(digest(seed, F.col("__row"), c))), weight),
+            exponential_rank(unit(wide_bits(digest(seed, F.col("__row"), c))), weight, MILD),
         )
         for c in spec.predictors
     }
@@ -179,7 +179,7 @@ def precision_keys(spec: TableSpec, seed: int) -> dict[str, Column]:
         bias, impulse = _mode_shares(spec, c)
         weight = F.lit(MODE_SHARES["noise"]) + bias + impulse
         u = unit(wide_bits(digest(seed, F.col("__row"), c)))
-        keys[c] = F.when(free(c) & _finite(c), exponential_rank(u, weight))
+        keys[c] = F.when(free(c) & _finite(c), exponential_rank(u, weight, MODE_SHARES["noise"]))
     return keys
 
 
@@ -231,6 +231,7 @@ def with_swaps(work: DataFrame, spec: TableSpec, seed: int) -> DataFrame:
     """
     flag_pairs = list(combinations(spec.flags, 2))
     rated = [(a, b, 1.0) for a, b in spec.swaps] + [(a, b, 1.0 / len(flag_pairs)) for a, b in flag_pairs]
+    lightest = min(rate for _, _, rate in rated)
     options = []
     for a, b, rate in rated:
         u = unit(wide_bits(digest(seed, F.col("__row"), f"{a}~{b}")))
@@ -239,14 +240,17 @@ def with_swaps(work: DataFrame, spec: TableSpec, seed: int) -> DataFrame:
             F.when(
                 possible,
                 F.struct(
-                    exponential_rank(u, F.lit(rate)).alias("key"),
+                    exponential_rank(u, F.lit(rate), lightest).alias("key"),
                     F.concat(F.col("__row"), F.lit(f":{a}~{b}")).alias("tie"),
                     F.lit(a).alias("a"),
                     F.lit(b).alias("b"),
                 ),
             )
         )
-    ordered = F.array_sort(F.array_compact(F.array(*options)))
+    # the options are a column of their own, used twice below: folded into the lambda
+    # function's input they would be evaluated outside generated code
+    work = work.withColumn("__options", F.array_compact(F.array(*options)))
+    ordered = F.array_sort("__options")
     pair_type = "struct<key:double,tie:string,a:string,b:string>"
     start = F.struct(
         F.array().cast("array<string>").alias("used"), F.array().cast(f"array<{pair_type}>").alias("kept")
@@ -259,12 +263,14 @@ def with_swaps(work: DataFrame, spec: TableSpec, seed: int) -> DataFrame:
         )
         return F.when(F.arrays_overlap(acc["used"], cells), acc).otherwise(taken)
 
-    return work.withColumn("__swaps", F.aggregate(ordered, start, add, lambda acc: acc["kept"]))
+    kept = F.aggregate(ordered, start, add, lambda acc: acc["kept"])
+    return work.withColumn("__swaps", F.when(F.size("__options") > 0, kept)).drop("__options")
 
 
 def mark_swapped(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> DataFrame:
     listed = with_swaps(work, spec, seed)
-    options = listed.select(F.explode("__swaps").alias("s")).select("s.key", "s.tie")
+    # the outer form adds no emptiness filter, which would compute the swaps a second time
+    options = listed.select(F.explode_outer("__swaps").alias("s")).select("s.key", "s.tie")
     cut = cut_smallest(options, math.ceil(budget / 2))
     fired = listed.withColumn("__swaps", F.filter("__swaps", lambda s: cut.keeps(s["key"], s["tie"])))
     partners: dict[str, list[str]] = {}
@@ -272,11 +278,12 @@ def mark_swapped(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> Da
         partners.setdefault(a, []).append(b)
         partners.setdefault(b, []).append(a)
 
-    def partner_of(c: str) -> Column:
-        mine = F.get(F.filter("__swaps", lambda s: (s["a"] == c) | (s["b"] == c)), F.lit(0))
-        return F.when(mine["a"] == c, mine["b"]).otherwise(mine["a"])
+    def both_ways(s: Column) -> Column:
+        there = F.struct(s["a"].alias("from"), s["b"].alias("to"))
+        return F.array(there, F.struct(s["b"].alias("from"), s["a"].alias("to")))
 
-    named = fired.withColumns({f"__mate_{c}": partner_of(c) for c in partners})
+    moved = fired.withColumn("__moves", F.map_from_entries(F.flatten(F.transform("__swaps", both_ways))))
+    named = moved.withColumns({f"__mate_{c}": F.try_element_at("__moves", F.lit(c)) for c in partners})
     changed: dict[str, Column] = {}
     for c, mates in partners.items():
         mate = F.col(f"__mate_{c}")
@@ -285,7 +292,7 @@ def mark_swapped(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> Da
             value = F.when(mate == m, F.col(m)).otherwise(value)
         changed[c] = value
         changed[f"__dim_{c}"] = F.when(mate.isNotNull(), F.lit("coherence")).otherwise(F.col(f"__dim_{c}"))
-    return named.withColumns(changed).drop("__swaps", *[f"__mate_{c}" for c in partners])
+    return named.withColumns(changed).drop("__swaps", "__moves", *[f"__mate_{c}" for c in partners])
 
 
 def coherence(df: DataFrame, spec: TableSpec, density: float, seed: int = 42) -> Degraded:

@@ -17,6 +17,9 @@ def local_session(cpus: int = 8, app: str = "tarnish") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TARNISH_DRIVER_MEMORY", "12g"))
+        # a cell-wise projection makes one long method; past 8000 bytes of bytecode the JVM
+        # would only interpret it, so let Spark split it instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -40,3 +43,15 @@ def staged(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tarnish-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a scan that has fewer partitions than there are cores.
+
+    A small file is one task however many cores there are; a large table already has
+    more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
