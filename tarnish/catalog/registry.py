@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnish.catalog import analysis, degradation
+from tarnish.catalog import analysis, degradation, scoring
 
-MODULES = [degradation, analysis]
+MODULES = [degradation, analysis, scoring]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
