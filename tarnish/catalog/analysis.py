@@ -41,7 +41,7 @@ def loss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = loss.groupBy(*groups).agg(F.count("loss").alias("n"), F.avg("loss").alias("mean"))
     spread = L.grouped_quantiles(loss, groups, "loss", probs, line_count(spark, sf_dir))
     joined = mean.join(spread, groups)
-    return joined.select(*groups, "n", *[round_col(F.col(c), 7).alias(c) for c in ("mean", *probs)])
+    return joined.select(*groups, "n", round_col(F.col("mean"), 5).alias("mean"), *[round_col(F.col(c), 9).alias(c) for c in probs])
 
 
 def loss_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def pairwise_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = ["median_diff", "pct2_5", "pct97_5", "wilcoxon_stat", "p_raw", "p_holm", "share"]
     return df.select(
         "metric", "model", "dim_A", "dim_B", "n_pairs", "n_agree", "ci_excludes_zero", "separable",
-        *[round_col(F.col(c), 6).alias(c) for c in real],
+        *[round_col(F.col(c), 9 if c in real[:3] else 6).alias(c) for c in real],
     )
 
 
@@ -83,11 +83,11 @@ def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_to_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = losses(spark, sf_dir).filter(F.col("level") == 3)
     df = C.gap_to_others(at, DIMS, bound=line_count(spark, sf_dir))
-    return df.withColumn("gap", round_col(F.col("gap"), 5))
+    return df.withColumn("gap", round_col(F.col("gap"), 9))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir).withColumn("gap", round_col(F.col("gap"), 5))
+    return _verdicts(spark, sf_dir).withColumn("gap", round_col(F.col("gap"), 9))
 
 
 def verdict_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def raw_metric_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = at.withColumn("loss", F.round("loss", 6))
     bound = line_count(spark, sf_dir)
     df = C.verdicts(C.pairwise_contrasts(at, DIMS, MODELS, bound=bound), C.gap_to_others(at, DIMS, bound=bound))
-    return df.withColumn("gap", round_col(F.col("gap"), 5))
+    return df.withColumn("gap", round_col(F.col("gap"), 9))
 
 
 def metric_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def metric_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def effect_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = L.effect_size(losses(spark, sf_dir), ["metric", "dimension"], bound=line_count(spark, sf_dir))
-    return df.select("metric", "dimension", "n_pairs", *[round_col(F.col(c), 5).alias(c) for c in ("median", "low", "high")])
+    return df.select("metric", "dimension", "n_pairs", *[round_col(F.col(c), 9).alias(c) for c in ("median", "low", "high")])
 
 
 def relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,13 +269,13 @@ QUERIES = {
 
 ORACLES = {
     "paired_loss": f"WITH {LOSS_SQL} SELECT metric, dimension, model, replicate, loss, concat('0.', level) AS level FROM loss",
-    "loss_summary": f"""WITH {LOSS_SQL} SELECT metric, dimension, level, count(loss) AS n, {rounded('avg(loss)', 7)} AS mean,
-  {rounded('quantile_cont(loss, 0.5)', 7)} AS median, {rounded('quantile_cont(loss, 0.025)', 7)} AS low,
-  {rounded('quantile_cont(loss, 0.975)', 7)} AS high FROM loss GROUP BY metric, dimension, level""",
+    "loss_summary": f"""WITH {LOSS_SQL} SELECT metric, dimension, level, count(loss) AS n, {rounded('avg(loss)', 5)} AS mean,
+  {rounded('quantile_cont(loss, 0.5)', 9)} AS median, {rounded('quantile_cont(loss, 0.025)', 9)} AS low,
+  {rounded('quantile_cont(loss, 0.975)', 9)} AS high FROM loss GROUP BY metric, dimension, level""",
     "loss_coverage": f"""WITH {LOSS_SQL} SELECT metric, count(*) AS n_observed, count(DISTINCT replicate) * 45 AS n_expected,
   count(*) = count(DISTINCT replicate) * 45 AS complete FROM loss GROUP BY metric""",
     "pairwise_contrasts": f"""{AT3_SQL} SELECT metric, model, dim_A, dim_B, n_pairs, n_agree, ci_excludes_zero, separable,
-  {rounded('median_diff')} AS median_diff, {rounded('pct2_5')} AS pct2_5, {rounded('pct97_5')} AS pct97_5,
+  {rounded('median_diff', 9)} AS median_diff, {rounded('pct2_5', 9)} AS pct2_5, {rounded('pct97_5', 9)} AS pct97_5,
   {rounded('wilcoxon_stat')} AS wilcoxon_stat, {rounded('p_raw')} AS p_raw, {rounded('p_holm')} AS p_holm,
   {rounded('n_agree::DOUBLE / nullif(n_pairs, 0)')} AS share FROM sep""",
     "pair_order": f"{AT3_SQL} SELECT metric, dim_A, dim_B, {rounded('avg(abs(median_diff))', 5)} AS mean_abs_median FROM sep GROUP BY metric, dim_A, dim_B",
@@ -286,8 +286,8 @@ shares AS (SELECT model, dimension, level, (count(*) FILTER (units <= 10))::DOUB
 stepped AS (SELECT *, (count(*) OVER (PARTITION BY model) - row_number() OVER (PARTITION BY model ORDER BY p_raw) + 1) * p_raw AS step FROM shares)
 SELECT model, dimension, level, round(p_raw, 9) AS p_raw,
   round(least(1.0, max(step) OVER (PARTITION BY model ORDER BY p_raw ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM stepped""",
-    "gap_to_others": f"{VERDICT_SQL} SELECT metric, model, dimension, {rounded('gap', 5)} AS gap FROM gaps",
-    "verdicts": f"{VERDICT_SQL} SELECT metric, model, dimension, wins, losses, {rounded('gap', 5)} AS gap, is_most, is_least FROM verdict",
+    "gap_to_others": f"{VERDICT_SQL} SELECT metric, model, dimension, {rounded('gap', 9)} AS gap FROM gaps",
+    "verdicts": f"{VERDICT_SQL} SELECT metric, model, dimension, wins, losses, {rounded('gap', 9)} AS gap, is_most, is_least FROM verdict",
     "verdict_families": f"{VERDICT_SQL},\n{FAMILY_CTES} SELECT * FROM named",
     "verdict_counts": f"{VERDICT_SQL},\n{FAMILY_CTES} SELECT kind, dimension, count(*) FILTER (family <> 'none') AS n_named FROM named GROUP BY kind, dimension",
     "leader_by_level": f"""{RECURSIVE}{contrast_sql('loss', ['metric', 'level'])},
@@ -304,13 +304,13 @@ loss AS (SELECT 'price' AS metric, dimension, model, level, replicate, round(-pr
   UNION ALL SELECT 'qty', dimension, model, level, replicate, round(qty, 6) FROM grid WHERE level = 3),
 {contrast_sql('loss', ['metric'])},
 {verdict_sql('loss')}
-SELECT metric, model, dimension, wins, losses, {rounded('gap', 5)} AS gap, is_most, is_least FROM verdict""",
+SELECT metric, model, dimension, wins, losses, {rounded('gap', 9)} AS gap, is_most, is_least FROM verdict""",
     "metric_band": f"""WITH {grid_sql()},
 long AS (SELECT model, dimension, level, 'price' AS metric, price AS v FROM grid UNION ALL SELECT model, dimension, level, 'qty', qty FROM grid),
 band AS (SELECT model, dimension, level, metric, avg(v) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM long GROUP BY ALL)
 SELECT model, dimension, level, metric, {', '.join(f"round(CASE WHEN metric = 'qty' THEN greatest(20.0, least(30.0, {c})) ELSE {c} END, 5) AS {c}" for c in ('mean', 'low', 'high'))} FROM band""",
-    "effect_size": f"""WITH {LOSS_SQL} SELECT metric, dimension, count(loss) AS n_pairs, {rounded('quantile_cont(loss, 0.5)', 5)} AS median,
-  {rounded('quantile_cont(loss, 0.025)', 5)} AS low, {rounded('quantile_cont(loss, 0.975)', 5)} AS high FROM loss WHERE level = 3 GROUP BY metric, dimension""",
+    "effect_size": f"""WITH {LOSS_SQL} SELECT metric, dimension, count(loss) AS n_pairs, {rounded('quantile_cont(loss, 0.5)', 9)} AS median,
+  {rounded('quantile_cont(loss, 0.025)', 9)} AS low, {rounded('quantile_cont(loss, 0.975)', 9)} AS high FROM loss WHERE level = 3 GROUP BY metric, dimension""",
     "relative_change": f"""WITH {grid_sql()},
 wide AS (SELECT model, dimension, avg(price) FILTER (level = 0) AS p0, avg(price) FILTER (level = 3) AS p3,
   avg(qty) FILTER (level = 0) AS q0, avg(qty) FILTER (level = 3) AS q3 FROM grid GROUP BY model, dimension)
