@@ -53,12 +53,15 @@ def cell_tie(c: str) -> Column:
 
 
 def candidates(work: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Long form (key, tie) of the cells that may be chosen; null keys are left out."""
-    cells = [F.struct(k.alias("key"), cell_tie(c).alias("tie")) for c, k in keys.items()]
+    """Long form (key, tie) of the cells that may be chosen; null keys are left out.
+
+    The tie is built after the explode, so a pass that only counts keys never makes it.
+    """
+    cells = [F.struct(k.alias("key"), F.lit(c).alias("column")) for c, k in keys.items()]
     return (
-        work.select(F.explode(F.array(*cells)).alias("cell"))
-        .select("cell.key", "cell.tie")
-        .filter(F.col("key").isNotNull())
+        work.select("__row", F.explode(F.array(*cells)).alias("cell"))
+        .filter(F.col("cell.key").isNotNull())
+        .select("cell.key", F.concat("__row", F.lit(":"), "cell.column").alias("tie"))
     )
 
 

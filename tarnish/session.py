@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,23 +27,27 @@ def local_session(cpus: int = 8, app: str = "tarnish") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in
+    ``spark.checkpoint.dir``. Only a local session without that setting gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="tarnish-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the session's checkpoint folder and read it back.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    Used where a shuffle-heavy table is scanned several times. The folder is the
-    shared one the cluster names in ``spark.checkpoint.dir``; only a local session
-    without that setting gets a folder of its own.
+    Used where a costly table is scanned several times: it cuts the lineage, survives
+    lost executors, and later scans read only the columns they need.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tarnish-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
