@@ -136,17 +136,22 @@ def grouped_quantiles(
     probs: dict[str, float],
     bound: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group, one output column per entry."""
+    """Exact, linearly interpolated quantiles per group, one output column per entry.
+
+    ``weight`` names a column of row counts for a table that is already counted.
+    """
     n_rows = df.count() if bound is None else bound
+    times = F.lit(1) if weight is None else F.col(weight)
     if n_rows <= rows_per_bucket:
         return df.groupBy(*groups).agg(
-            *[F.percentile(value, p).alias(name) for name, p in probs.items()]
+            *[F.percentile(value, p, times).alias(name) for name, p in probs.items()]
         )
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.sum(times).alias("__n"))
     )
     placed = prefix_sums(counted, groups, "__v", ["__n"], n_rows, rows_per_bucket)
     picks = []

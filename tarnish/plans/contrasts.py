@@ -39,7 +39,7 @@ def differences(wide: DataFrame, keys: Sequence[str], dims: Sequence[str]) -> Da
 def rank_sum(df: DataFrame, groups: Sequence[str], value: str, flag: Column, bound: int | None = None, **size) -> DataFrame:
     """Sum of average-tie ranks of the flagged rows in each group.
 
-    Ties are collapsed before ranks are formed. Returns n, n_flag, rank_sum and
+    Ties are collapsed before ranks are formed. Returns n_ranked, n_flag, rank_sum and
     tie_term (sum of t^3 - t over tied values).
     """
     tied = df.groupBy(*groups, F.col(value).alias("__v")).agg(
@@ -48,7 +48,7 @@ def rank_sum(df: DataFrame, groups: Sequence[str], value: str, flag: Column, bou
     placed = prefix_sums(tied, list(groups), "__v", ["__n"], bound, **size)
     t = F.col("__n").cast("double")
     return placed.groupBy(*groups).agg(
-        F.sum("__n").alias("n"),
+        F.sum("__n").alias("n_ranked"),
         F.sum("__flagged").alias("n_flag"),
         F.sum(F.col("__flagged") * (F.col("before___n") + (t + 1) / 2)).alias("rank_sum"),
         F.sum(t * t * t - t).alias("tie_term"),
@@ -77,13 +77,13 @@ def signed_rank(diffs: DataFrame, groups: Sequence[str], bound: int | None = Non
     """
     moved = diffs.filter(F.col("diff") != 0).withColumn("__size", F.abs(F.col("diff")))
     ranks = rank_sum(moved, groups, "__size", F.col("diff") > 0, bound, **size)
-    n = F.col("n").cast("double")
+    n = F.col("n_ranked").cast("double")
     total = n * (n + 1) / 2
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("tie_term") / 2) / 24)
     stat = F.least(F.col("rank_sum"), total - F.col("rank_sum"))
     tested = ranks.select(
         *groups,
-        F.col("n").alias("n_moved"),
+        F.col("n_ranked").alias("n_moved"),
         stat.alias("wilcoxon_stat"),
         two_sided_p((stat - total / 2) / spread).alias("p_normal"),
         (F.col("tie_term") == 0).alias("untied"),
@@ -236,14 +236,14 @@ def families(verdict: DataFrame, roles: dict[str, str], keys: Sequence[str] = ("
         verdict.select(*keys, "dimension", "model", role.alias("family"), F.explode(flags).alias("f"))
         .filter(F.col("f.yes") & F.col("family").isNotNull())
         .groupBy(*keys, "dimension", "f.kind", "family")
-        .agg(F.count_distinct("model").alias("n"))
+        .agg(F.count_distinct("model").alias("__n"))
     )
     full = reduce(lambda acc, f: F.when(F.col("family") == f, F.lit(size[f])).otherwise(acc), size, F.lit(None))
-    agreed = long.filter(F.col("n") == full)
+    agreed = long.filter(F.col("__n") == full)
     return (
         agreed.groupBy(*keys, "dimension", "kind")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family"))
-        .select(*keys, "dimension", "kind", F.when(F.col("n") == len(size), F.lit("all")).otherwise(F.col("family")).alias("family"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("family").alias("family"))
+        .select(*keys, "dimension", "kind", F.when(F.col("__n") == len(size), F.lit("all")).otherwise(F.col("family")).alias("family"))
     )
 
 
@@ -265,9 +265,9 @@ def complete_models(loss: DataFrame, dims: Sequence[str], keys: Sequence[str]) -
     return (
         loss.filter(F.col("dimension").isin(list(dims)))
         .groupBy(*keys, "model")
-        .agg(F.count_distinct("dimension").alias("n"))
-        .filter(F.col("n") == len(dims))
-        .drop("n")
+        .agg(F.count_distinct("dimension").alias("__n"))
+        .filter(F.col("__n") == len(dims))
+        .drop("__n")
     )
 
 

@@ -40,7 +40,7 @@ def c_index(pred: DataFrame, groups: Sequence[str], bound: int | None = None, **
     """
     groups = list(groups)
     seen = pred.filter(F.col("risk").isNotNull() & F.col("time").isNotNull())
-    counted = seen.groupBy(*groups, "time", "event", "risk").agg(F.count(F.lit(1)).alias("n"))
+    counted = seen.groupBy(*groups, "time", "event", "risk").agg(F.count(F.lit(1)).alias("__n"))
     times = counted.groupBy(*groups, "time").agg(F.lit(1).alias("one"))
     slots = prefix_sums(times, groups, "time", ["one"], bound, **size)
     last = slots.agg(F.max("before_one")).collect()[0][0]
@@ -52,16 +52,16 @@ def c_index(pred: DataFrame, groups: Sequence[str], bound: int | None = None, **
         .withColumn("slot", 2 * F.col("before_one") + F.when(F.col("event"), 0).otherwise(1))
     )
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
-    digits = slotted.select(*groups, "event", "risk", "n", "slot", levels.alias("level"))
+    digits = slotted.select(*groups, "event", "risk", "__n", "slot", levels.alias("level"))
     late = F.col("slot").bitwiseAND(F.expr("shiftleft(1L, level)")) != 0
     block = F.expr("shiftright(slot, level + 1)")
     sides = (
-        digits.select(*groups, "level", block.alias("block"), "risk", "n", "event", late.alias("late"))
+        digits.select(*groups, "level", block.alias("block"), "risk", "__n", "event", late.alias("late"))
         .filter(F.col("late") | F.col("event"))
         .groupBy(*groups, "level", "block", "risk")
         .agg(
-            F.sum(F.when(~F.col("late"), F.col("n")).otherwise(0)).alias("early"),
-            F.sum(F.when(F.col("late"), F.col("n")).otherwise(0)).alias("late"),
+            F.sum(F.when(~F.col("late"), F.col("__n")).otherwise(0)).alias("early"),
+            F.sum(F.when(F.col("late"), F.col("__n")).otherwise(0)).alias("late"),
         )
     )
     spread = None if bound is None else bound * depth

@@ -64,7 +64,10 @@ def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     fields = F.size(F.split(F.col("_corrupt_record"), "\\Q" + sep + "\\E"))
     whole = rows.select("*", F.col("_metadata.file_path").alias("__path"))
-    return whole.filter(F.col("_corrupt_record").isNull() | (fields <= len(names))).drop("_corrupt_record")
+    # the last term never decides; it keeps a data column in scans that only count rows,
+    # which Spark refuses to run on the corrupt-record column alone
+    usable = F.col("_corrupt_record").isNull() | (fields <= len(names)) | (fields.isNull() & F.col(names[0]).isNotNull())
+    return whole.filter(usable).drop("_corrupt_record")
 
 
 def cached(spark: SparkSession, source: DataFrame, cache: str) -> DataFrame:
