@@ -60,6 +60,8 @@ def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("nullValue", "nan")
+        # a pruned scan does not count the fields it skips, and would let long lines through
+        .option("columnPruning", "false")
         .csv(paths)
     )
     fields = F.size(F.split(F.col("_corrupt_record"), "\\Q" + sep + "\\E"))
