@@ -44,8 +44,7 @@ def severity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = cohort(spark, sf_dir)
     after = {d: _degrade(spark, sf_dir, d) for d in ("completeness", "coherence", "uniqueness")}
     scale = prep.winsorised_scale(clean, MEASURES)
-    bound = line_count(spark, sf_dir) * len(MEASURES) * len(after)
-    df = checks.severity_profile(clean, after, COHORT.ids, MEASURES, scale, bound)
+    df = checks.severity_profile(clean, after, COHORT.ids, MEASURES, scale)
     return df.select("dimension", *[F.round(c, 6).alias(c) for c in df.columns if c != "dimension"])
 
 

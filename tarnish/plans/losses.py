@@ -33,9 +33,10 @@ def of_interest(results: DataFrame, models: Sequence[str] | None = None, n_fixed
 
 
 def first_per_key(results: DataFrame, keys: Sequence[str], ingest_order: str) -> DataFrame:
-    """Keep the first ingested row of each key."""
-    w = Window.partitionBy(*keys).orderBy(ingest_order)
-    return results.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
+    """Keep the first ingested row of each key (a combinable minimum, no sort per key)."""
+    rest = [c for c in results.columns if c not in keys]
+    first = results.groupBy(*keys).agg(F.min_by(F.struct(*rest), ingest_order).alias("__row"))
+    return first.select(*keys, "__row.*").select(*results.columns)
 
 
 def signed(direction: str, base: Column, value: Column) -> Column:

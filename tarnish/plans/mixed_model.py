@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tarnish.operators.ordering import prefix_sums
 
 
 @dataclass(frozen=True)
@@ -164,10 +165,9 @@ def residuals(loss: DataFrame, model: Fit) -> DataFrame:
     joined = loss.join(F.broadcast(cells), ["dimension", "model", "level"]).withColumn(
         "__e", F.col("loss") - F.col("fitted")
     )
-    w = Window.partitionBy("replicate")
-    n, total = F.count("__e").over(w), F.sum("__e").over(w)
-    shift = F.lit(model.ratio) * total / (1 + n * F.lit(model.ratio))
-    return joined.withColumn("resid", F.col("__e") - shift).drop("__e")
+    shift = F.lit(model.ratio) * F.sum("__e") / (1 + F.count("__e") * F.lit(model.ratio))
+    shifts = joined.groupBy("replicate").agg(shift.alias("__shift"))
+    return joined.join(shifts, "replicate").withColumn("resid", F.col("__e") - F.col("__shift")).drop("__e", "__shift")
 
 
 def skewness(residual: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -205,8 +205,6 @@ def histogram(residual: DataFrame, bins: int = 60) -> DataFrame:
 
 def plotting_positions(residual: DataFrame, bound: int | None = None, **size) -> DataFrame:
     """Quantile-plot coordinates: each distinct residual with its cumulative probability."""
-    from tarnish.operators.ordering import prefix_sums
-
     tied = residual.groupBy("resid").agg(F.count(F.lit(1)).alias("n"))
     placed = prefix_sums(tied, [], "resid", ["n"], bound, **size)
     return placed.select("resid", "n", ((F.col("before_n") + F.col("n") / 2) / F.col("total_n")).alias("prob"))

@@ -93,7 +93,10 @@ def breslow(train: DataFrame, groups: Sequence[str], bound: int | None = None, *
     """
     groups = list(groups)
     centers = risk_centers(train, groups)
-    rows = train.join(centers, groups) if groups else train.crossJoin(F.broadcast(centers))
+    if groups:
+        rows = train.join(centers, groups)
+    else:
+        rows = train.withColumn("center", F.lit(centers.collect()[0]["center"]))
     by_time = rows.groupBy(*groups, "time").agg(
         F.sum(relative_risk(F.col("eta"), F.col("center"))).alias("risk"),
         F.sum(F.col("event").cast("long")).alias("events"),
