@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarnish.llm.bpe import decode, encode
 from tarnish.llm.exact_dedup import exact_dedup
+from tarnish.llm.license_scan import license_scan
+from tarnish.llm.lm_score import lm_score
 from tarnish.llm.sharding import assign_shards
+from tarnish.llm.simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +21,43 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """Ids of every text under the multilingual vocabulary, and the bytes they decode to."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return decode(encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_lm_score": op4_lm_score,
     "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES = {
