@@ -12,7 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.wordblocks import BLOCK_BYTES, BUCKET_BYTES, per_block, per_word, unpack, word_blocks
+from tarnish.llm.common import small_batches
+from tarnish.llm.wordblocks import BLOCK_BYTES, BUCKET_BYTES, per_block, per_word, word_blocks
 
 #: Pre-tokens up to this many bytes are merged by plain scanning, longer ones through a heap.
 SCAN_LENGTH = 64
@@ -87,12 +88,32 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, picks: np.ndar
     return flat[np.repeat(start[picks] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class TokenBytes:
+    """The table of tokens and their bytes, as large as the vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        self.size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, one after the other; an id that the vocabulary lacks is an error."""
+        ids = ids.astype(np.int64)
+        if len(ids) and (ids.max() >= len(self.size) or not self.size[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return gather(self.flat, self.start, self.size, ids).tobytes()
+
+
 def encode(
     docs: DataFrame,
     vocabulary: str,
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    decoded: bool = False,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
@@ -101,31 +122,37 @@ def encode(
     ``pattern`` cuts a text into pre-tokens; ``vocabulary`` is the path of a rank file on the driver.
     Pre-tokens stay in place as numbers into their block's word list; the distinct words go once
     through a shuffle by hash, each is encoded once, and the ids return to the blocks, where the
-    numbers say in which order to put them.
+    numbers say in which order to put them. With ``decoded``, the ids are joined to the token-byte
+    table on the spot, as :func:`decode` does, and the bytes are a fourth column.
 
     Null and empty texts have no tokens. Repeated rows each have a row. An empty table gives an
     empty result. A null id stays null. Other columns are not looked at. A text of any length is
     encoded whole; a single word of any length costs n log n.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # bounded by the vocabulary file
+    known = load_ranks(vocabulary)
+    ranks = docs.sparkSession.sparkContext.broadcast(known)  # bounded by the vocabulary file
+    table = docs.sparkSession.sparkContext.broadcast(TokenBytes(known) if decoded else None)
     kind = docs.select(docs[id_col]).dtypes[0][1]
 
     def split(text: str) -> list[str]:
         return regex.findall(pattern, text)
 
     def word_ids(words: list[bytes], _) -> list[bytes]:
-        known = ranks.value
-        return [np.array(merge_word(w, known), dtype="<u4").tobytes() for w in words]
+        return [np.array(merge_word(w, ranks.value), dtype="<u4").tobytes() for w in words]
 
-    def reassemble(texts: pd.DataFrame, values: list[bytes]) -> pd.DataFrame:
+    def reassemble(texts: pd.DataFrame, numbers: np.ndarray, values: list[bytes]) -> pd.DataFrame:
         size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
         start = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(values), dtype="<u4")
-        ids = [gather(flat, start, size, unpack(n)) for n in texts["numbers"]]
-        return pd.DataFrame({"doc_id": texts["id"], "n_tokens": [len(i) for i in ids], "ids": [i.tobytes() for i in ids]})
+        ids = [gather(flat, start, size, own) for own in np.split(numbers, np.cumsum(texts["n"])[:-1])]
+        out = {"doc_id": texts["id"], "n_tokens": [len(i) for i in ids], "ids": [i.tobytes() for i in ids]}
+        if decoded:
+            out["decoded"] = [table.value.join(i) for i in ids]
+        return pd.DataFrame(out)
 
     blocks, _ = word_blocks(docs, split, id_col, text_col, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
-    out = per_block(blocks, per_word(blocks, word_ids), reassemble, "doc_id string, n_tokens long, ids binary")
+    schema = "doc_id string, n_tokens long, ids binary" + ", decoded binary" * decoded
+    out = per_block(blocks, per_word(blocks, word_ids), reassemble, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -135,26 +162,13 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     The table is as large as the vocabulary, so the join is done where the ids are. Null ids give
     null, no ids give no bytes; an id that the vocabulary lacks is an error.
     """
-    ranks = load_ranks(vocabulary)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    missing = [i for i in range(len(table)) if not table[i]]
-    shared = tokens.sparkSession.sparkContext.broadcast((table, missing))
+    small_batches(tokens.sparkSession)
+    table = tokens.sparkSession.sparkContext.broadcast(TokenBytes(load_ranks(vocabulary)))
 
     @F.pandas_udf("binary")
     def joined(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces, absent = shared.value
-        size = np.fromiter(map(len, pieces), dtype=np.int64)
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         for column in columns:
-            done = []
-            for ids in column:
-                picks = None if ids is None else np.frombuffer(ids, dtype="<u4").astype(np.int64)
-                if picks is not None and len(absent) and np.isin(picks, absent).any():
-                    raise ValueError("an id is not in the vocabulary")
-                done.append(None if picks is None else gather(flat, start, size, picks).tobytes())
-            yield pd.Series(done, dtype=object)
+            pieces = [None if ids is None else table.value.join(np.frombuffer(ids, dtype="<u4")) for ids in column]
+            yield pd.Series(pieces, dtype=object)
 
     return tokens.withColumn(out, joined(F.col(ids_col)))

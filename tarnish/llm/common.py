@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnish.session import staged
+from tarnish.session import shared_folder, staged
 
-__all__ = ["ascii_lower", "packed_key", "remainder", "staged", "text_of"]
+__all__ = ["ascii_lower", "packed_key", "remainder", "small_batches", "staged", "staged_by", "text_of"]
 
 #: The white space of all contracts, space and tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -35,3 +36,22 @@ def remainder(id_column: Column, modulus: int) -> Column:
 def packed_key(id_column: Column, digest: Column) -> Column:
     """Text digest and id as one string, with null ids equal to each other and to nothing else."""
     return F.concat(digest, F.coalesce(F.concat(F.lit("="), id_column.cast("string")), F.lit("-")))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers take at most ``rows`` texts at a time: Spark's 10,000 are too many where
+    texts are long. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(rows, int(spark.conf.get(name)))))
+
+
+def staged_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like :func:`staged`, but as a table bucketed by ``column``: a later join or grouping on the
+    column reads it where it lies instead of shuffling it. ``buckets`` is raised to the session's
+    number of shuffle partitions, below which Spark would shuffle both sides instead."""
+    spark = df.sparkSession
+    name = f"staged_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return spark.table(name)

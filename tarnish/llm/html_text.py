@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.common import text_of
+from tarnish.llm.common import small_batches, text_of
 
 #: Element names of the HTML standard by their role.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -300,6 +300,8 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     empty result, other columns are not looked at. Row by row, no shuffle.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in columns:

@@ -45,19 +45,16 @@ def _by_bucket(keys: np.ndarray, counts: np.ndarray, buckets: int):
     at = _bucket(keys, buckets)
     cuts = np.flatnonzero(np.diff(at, prepend=-1)).tolist() + [len(keys)]
     for a, b in zip(cuts, cuts[1:]):
-        yield int(at[a]), b - a, pack(np.diff(keys[a:b], prepend=np.uint64(0)), "<u8"), pack(counts[a:b])
+        yield int(at[a]), pack(np.diff(keys[a:b], prepend=np.uint64(0)), "<u8"), pack(counts[a:b])
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def count_bigrams(arrays: list[np.ndarray], hashes: np.ndarray, buckets: int):
+def count_bigrams(numbers: np.ndarray, hashes: np.ndarray, buckets: int):
     """Bigram counts of a block's training texts, per key range."""
-    if not arrays:
-        return
-    end = word_hashes([END], 1)[0]
-    keys, counts = np.unique(np.concatenate([bigram_keys(hashes, end, a) for a in arrays]), return_counts=True)
+    keys, counts = np.unique(bigram_keys(hashes, hashes[numbers[-1]], numbers), return_counts=True)
     yield from _by_bucket(keys, counts, buckets)
 
 
@@ -147,11 +144,10 @@ def filter_segments(blocks: DataFrame) -> DataFrame:
 def _answers(blocks: DataFrame, words: DataFrame, segments: DataFrame, buckets: int) -> DataFrame:
     """``block, keys, levels``: each block's distinct bigrams after a trip to the filter's segments."""
 
-    def ask(texts: pd.DataFrame, values: list[bytes]) -> pd.DataFrame:
+    def ask(texts: pd.DataFrame, numbers: np.ndarray, values: list[bytes]) -> pd.DataFrame:
         hashes = np.frombuffer(b"".join(values), dtype="<u8").reshape(-1, 2)[:, 1].astype(np.uint64)
-        numbers = np.concatenate([unpack(n) for n in texts["numbers"]])
         keys = np.unique(bigram_keys(hashes, hashes[numbers[-1]], numbers))
-        parts = [(at, packed) for at, _, packed, _ in _by_bucket(keys, np.ones(len(keys)), buckets)]
+        parts = [(at, packed) for at, packed, _ in _by_bucket(keys, np.ones(len(keys)), buckets)]
         return pd.DataFrame(parts, columns=["bucket", "keys"]).assign(block=texts["block"].iloc[0])
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -170,11 +166,10 @@ def _answers(blocks: DataFrame, words: DataFrame, segments: DataFrame, buckets:
 # ------------------------------------------------------------------- scoring
 
 
-def score_texts(texts: pd.DataFrame, values: list[bytes], n_train: int, n_distinct: int, prior: float, levels_of) -> pd.DataFrame:
+def score_texts(texts: pd.DataFrame, numbers: np.ndarray, values: list[bytes], n_train: int, n_distinct: int, prior: float, levels_of) -> pd.DataFrame:
     """Scores of a block's texts; ``levels_of`` gives the filter's levels for bigram keys."""
     known = np.frombuffer(b"".join(values), dtype="<u8").reshape(-1, 2)
     counts, hashes = known[:, 0].astype(np.int64), known[:, 1].astype(np.uint64)
-    numbers = np.concatenate([unpack(n) for n in texts["numbers"]])
     own = counts[numbers]
     history = np.concatenate([own[-1:], own[:-1]])  # each text ends with END, so END also precedes the next
     smooth = (own + 1) / (n_train + n_distinct + 1)
@@ -235,7 +230,9 @@ def lm_score(
         return [both[i : i + 16] for i in range(0, len(both), 16)]
 
     words = staged(per_word(blocks, count_and_hash))
-    n_train = blocks.filter("kind = 'text' and flag").agg(F.sum("n")).first()[0] or 0
+    trained = F.zip_with("flags", "sizes", lambda flag, size: F.when(flag, size).otherwise(0))
+    trained = F.aggregate(trained, F.lit(0).cast("long"), lambda a, b: a + b)
+    n_train = blocks.filter("kind = 'text'").agg(F.sum(trained)).first()[0] or 0
     n_distinct = words.agg(F.sum("known")).first()[0] or 0
     segments = filter_segments(blocks)
     size = segments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -244,19 +241,19 @@ def lm_score(
         held = {r["bucket"]: bytes(r["data"]) for r in segments.collect()}  # checked: at most broadcast_bytes
         shared = docs.sparkSession.sparkContext.broadcast(Segments(held, buckets))
 
-        def score(texts: pd.DataFrame, values: list[bytes]) -> pd.DataFrame:
-            return score_texts(texts, values, n_train, n_distinct, prior, shared.value.levels)
+        def score(texts: pd.DataFrame, numbers: np.ndarray, values: list[bytes]) -> pd.DataFrame:
+            return score_texts(texts, numbers, values, n_train, n_distinct, prior, shared.value.levels)
 
         out = per_block(blocks, words, score, schema)
     else:
         answers = _answers(blocks, words, segments, buckets)
 
-        def score_answered(texts: pd.DataFrame, values: list[bytes], rest: pd.DataFrame) -> pd.DataFrame:
+        def score_answered(texts: pd.DataFrame, numbers: np.ndarray, values: list[bytes], rest: pd.DataFrame) -> pd.DataFrame:
             keys = np.concatenate([np.cumsum(unpack(k, "<u8"), dtype=np.uint64) for k in rest["keys"]])
             levels = np.concatenate([unpack(v) for v in rest["levels"]]).astype(np.int64)
             order = np.argsort(keys)
             keys, levels = keys[order], levels[order]
-            return score_texts(texts, values, n_train, n_distinct, prior, lambda k: levels[np.searchsorted(keys, k)])
+            return score_texts(texts, numbers, values, n_train, n_distinct, prior, lambda k: levels[np.searchsorted(keys, k)])
 
         out = per_block(blocks, words, score_answered, schema, answers)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))

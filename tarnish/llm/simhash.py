@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnish.llm.common import packed_key, staged, text_of
+from tarnish.llm.common import packed_key, small_batches, staged, text_of
 
 RADIUS, SHINGLE = 4, 4
 #: Buckets up to this many distinct fingerprints are compared; larger ones are split by more bits.
@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id never becomes a component id unless a component has no other. Repeated rows are
     equal fingerprints. An empty table gives an empty result. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     rows = staged(docs.select(docs[id_col].alias("id"), fingerprint_column(text_of(docs, text_col)).alias("fp")))
     return _with_components(rows, compared).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -269,8 +270,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null ids come after all others; of rows that share id and component one stays.
     """
+    small_batches(docs.sparkSession)
     text = text_of(docs, text_col)
     digest = F.sha2(text, 256)
+    small_batches(docs.sparkSession)
     rows = staged(docs.select(docs[id_col].alias("id"), fingerprint_column(text).alias("fp"), digest.alias("digest")))
     first = F.row_number().over(Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest"))
     kept = _with_components(rows, compared).withColumn("place", first).filter("place = 1")

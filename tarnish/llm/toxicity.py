@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.common import remainder, staged, text_of
+from tarnish.llm.common import remainder, small_batches, staged, text_of
 
 #: At most so many labelled rows of each class are learned from, those of smallest hash.
 MAX_TOXIC, MAX_ORDINARY = 6000, 12000
@@ -255,6 +255,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     null labels do not. Repeated rows each have a row. Empty tables give an empty result or, for
     the labels, one half for all. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     scorer = fit_toxicity(docs, labels, id_col, text_col, **limits)
     score = toxicity_column(docs, scorer, text_col)
     rows = docs.select(docs[id_col].alias("doc_id"), (remainder(docs[id_col], 3) == 1).alias("held_out"), score.alias("score"))
@@ -263,5 +264,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     scorer = fit_toxicity(docs, labels, id_col, text_col, **limits)
     return docs.filter(toxicity_column(docs, scorer, text_col) < THRESHOLD)

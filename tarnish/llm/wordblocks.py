@@ -19,14 +19,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.common import staged, text_of
+from tarnish.llm.common import small_batches, staged_by, text_of
 
-#: UTF-8 bytes of text that one block takes; a longer text is a block by itself.
-BLOCK_BYTES = 16 << 20
+#: Characters of text that one block takes; a longer text is a block by itself.
+BLOCK_BYTES = 6 << 20
 #: UTF-8 bytes of text per bucket of distinct words; their number follows the data.
 BUCKET_BYTES = 8 << 20
 
-SCHEMA = "block long, kind string, id string, flag boolean, bucket long, n long, numbers binary, places binary, words binary, counts binary"
+SCHEMA = (
+    "block long, kind string, ids array<string>, flags array<boolean>, sizes array<long>, numbers binary, "
+    "bucket long, places binary, words binary, counts binary"
+)
 
 
 def pack(values: np.ndarray, kind: str = "<u4") -> bytes:
@@ -40,6 +43,31 @@ def unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent: a byte each, and 12 or 32 more bits for larger ones."""
+    rest = ranks[ranks >= 192].astype("<u4") - 192
+    first = ranks.astype(np.uint8)
+    first[ranks >= 192] = 192 + np.minimum(rest >> 12, 63)
+    large = rest >> 12 >= 63
+    middle = (rest[~large] & 0xFFF).astype("<u2")
+    parts = [zstandard.compress(first.tobytes(), 3), pack(middle, "<u2"), pack(rest[large])]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def unpack_ranks(data: bytes) -> np.ndarray:
+    parts = []
+    while data:
+        n = int.from_bytes(data[:4], "little")
+        parts.append(data[4 : 4 + n])
+        data = data[4 + n :]
+    ranks = np.frombuffer(zstandard.decompress(parts[0]), dtype=np.uint8).astype("<u4")
+    middle = np.flatnonzero((ranks >= 192) & (ranks < 255))
+    large = np.flatnonzero(ranks == 255)
+    ranks[middle] = 192 + ((ranks[middle] - 192) << 12 | unpack(parts[1], "<u2"))
+    ranks[large] = 192 + unpack(parts[2])
+    return ranks
+
+
 def pack_words(words: list[bytes]) -> bytes:
     lengths = pack(np.fromiter(map(len, words), dtype="<u4", count=len(words)))
     return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(words), 3)
@@ -70,27 +98,35 @@ class _Block:
         self.flags.append(flag)
 
     def rows(self, buckets: int, counted: bool, also) -> Iterator[tuple]:
-        for row_id, flag, numbers in zip(self.ids, self.flags, self.arrays):
-            yield (self.number, "text", row_id, flag, None, len(numbers), pack(numbers), None, None, None)
-        words = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in self.index]
+        numbers = np.concatenate(self.arrays)
+        total = np.bincount(numbers, minlength=len(self.index))
+        # frequent words get the small numbers
+        order = np.argsort(-total, kind="stable")
+        rank = np.empty(len(order), dtype="<u4")
+        rank[order] = np.arange(len(order))
+        sizes = [len(a) for a in self.arrays]
+        yield (self.number, "text", self.ids, self.flags, sizes, pack_ranks(rank[numbers]), None, None, None, None)
+        listed = list(self.index)
+        words = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in map(listed.__getitem__, order.tolist())]
         if not words:
             return
         hashes = word_hashes(words, len(words))
-        flagged = [a for a, f in zip(self.arrays, self.flags) if f] if counted else []
+        flagged = rank[numbers[np.repeat(np.array(self.flags, dtype=bool), sizes)]]
         if counted:
-            counts = np.bincount(np.concatenate(flagged) if flagged else np.zeros(0, "<u4"), minlength=len(words))
+            counts = np.bincount(flagged, minlength=len(words))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         # sorting inside a bucket puts like words side by side, which compresses well
-        order = sorted(range(len(words)), key=list(zip(bucket.tolist(), words)).__getitem__)
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(order)]
+        at = sorted(range(len(words)), key=words.__getitem__)
+        at = np.array(at)[np.argsort(bucket[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1)).tolist() + [len(at)]
         for a, b in zip(cuts, cuts[1:]):
-            own = order[a:b]
-            packed = pack_words([words[i] for i in own])
+            own = at[a:b]
+            packed = pack_words([words[i] for i in own.tolist()])
             sums = pack(counts[own]) if counted else None
-            yield (self.number, "words", None, None, int(bucket[own[0]]), len(own), None, pack(np.array(own)), packed, sums)
-        if also is not None:
-            for at, n, keys, sums in also(flagged, hashes, buckets):
-                yield (self.number, "also", None, None, at, n, None, None, keys, sums)
+            yield (self.number, "words", None, None, None, None, int(bucket[own[0]]), pack(own), packed, sums)
+        if also is not None and len(flagged):
+            for b, keys, sums in also(flagged, hashes, buckets):
+                yield (self.number, "also", None, None, None, None, b, None, keys, sums)
 
 
 def word_blocks(
@@ -103,11 +139,12 @@ def word_blocks(
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> tuple[DataFrame, int]:
-    """The staged table of blocks, and the number of buckets: one ``text`` row per input row, one
-    ``words`` row per block and bucket.
+    """The staged table of blocks, and the number of buckets of words: per block one ``text`` row
+    and one ``words`` row per bucket. The table is stored by block, so that the texts need not move
+    when the results for their words come back.
 
     ``split`` makes the words of a text, as str or bytes. ``flag`` is a boolean column; words are
-    counted over the rows where it holds. ``also(arrays, hashes, buckets)`` may add rows of kind
+    counted over the rows where it holds. ``also(numbers, hashes, buckets)`` may add rows of kind
     ``also`` made from the flagged texts' word numbers. Null text is empty text.
     """
     rows = docs.select(
@@ -117,6 +154,7 @@ def word_blocks(
     )
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     counted = flag is not None
+    small_batches(docs.sparkSession)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // bucket_bytes))
 
@@ -133,7 +171,7 @@ def word_blocks(
         if block.ids:
             yield pd.DataFrame(block.rows(buckets, counted, also), columns=names)
 
-    return staged(rows.mapInPandas(run, SCHEMA)), buckets
+    return staged_by(rows.mapInPandas(run, SCHEMA), "block", -(-total // (4 * block_bytes))), buckets
 
 
 def per_word(blocks: DataFrame, work: Callable[[list[bytes], np.ndarray | None], list[bytes]]) -> DataFrame:
@@ -165,11 +203,11 @@ def per_word(blocks: DataFrame, work: Callable[[list[bytes], np.ndarray | None],
 def per_block(blocks: DataFrame, results: DataFrame, work: Callable, schema: str, rest: DataFrame | None = None) -> DataFrame:
     """Meet each block's texts with the results for its words.
 
-    ``work(texts, values)`` gets the block's ``id, flag, n, numbers`` rows (ids as text, numbers
-    still packed) and the value of each word number. With ``rest``, a table that also has a
-    ``block`` column, it gets the block's rows of that table as a third argument.
+    ``work(texts, numbers, values)`` gets the block's ``id, flag, n`` rows (ids as text), their word
+    numbers one after the other, and the value of each word number. With ``rest``, a table that
+    also has a ``block`` column, it gets the block's rows of that table as a fourth argument.
     """
-    texts = blocks.filter("kind = 'text'").select("block", "id", "flag", "n", "numbers")
+    texts = blocks.filter("kind = 'text'").select("block", "ids", "flags", "sizes", "numbers")
     results, more = results.select("block", "places", "values"), rest is not None
     if more:
         results = results.unionByName(rest, allowMissingColumns=True)
@@ -181,6 +219,9 @@ def per_block(blocks: DataFrame, results: DataFrame, work: Callable, schema: str
         for own, packed in zip(places, right["values"][mine]):
             for i, v in zip(own.tolist(), unpack_words(packed)):
                 values[i] = v
-        return work(left, values, right[~mine]) if more else work(left, values)
+        block = left.iloc[0]
+        rows = pd.DataFrame({"id": block["ids"], "flag": block["flags"], "n": block["sizes"]}).assign(block=block["block"])
+        numbers = unpack_ranks(block["numbers"])
+        return work(rows, numbers, values, right[~mine]) if more else work(rows, numbers, values)
 
     return texts.groupBy("block").cogroup(results.groupBy("block")).applyInPandas(run, schema)
