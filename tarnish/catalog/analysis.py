@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnish.catalog.data import round_col, rounded
-from tarnish.catalog.grid import DIMS, DIRECTIONS, LEVELS, LOSS_SQL, MODELS, ROLES, grid, grid_sql, line_count
+from tarnish.catalog.grid import DIMS, DIRECTIONS, LEVELS, LOSS_SQL, MODELS, ROLES, grid, grid_sql
 from tarnish.functions.tails import STEP, TERMS
 from tarnish.plans import contrasts as C
 from tarnish.plans import losses as L
@@ -20,12 +20,12 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _contrasts(spark: SparkSession, sf_dir: str, level: int = 3) -> DataFrame:
     at = losses(spark, sf_dir).filter(F.col("level") == level)
-    return C.pairwise_contrasts(at, DIMS, MODELS, bound=line_count(spark, sf_dir))
+    return C.pairwise_contrasts(at, DIMS, MODELS)
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = losses(spark, sf_dir).filter(F.col("level") == 3)
-    gaps = C.gap_to_others(at, DIMS, bound=line_count(spark, sf_dir))
+    gaps = C.gap_to_others(at, DIMS)
     return C.verdicts(_contrasts(spark, sf_dir), gaps)
 
 
@@ -39,7 +39,7 @@ def loss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     probs = {"median": 0.5, "low": 0.025, "high": 0.975}
     loss = losses(spark, sf_dir)
     mean = loss.groupBy(*groups).agg(F.count("loss").alias("n"), F.avg("loss").alias("mean"))
-    spread = L.grouped_quantiles(loss, groups, "loss", probs, line_count(spark, sf_dir))
+    spread = L.grouped_quantiles(loss, groups, "loss", probs)
     joined = mean.join(spread, groups)
     return joined.select(*groups, "n", round_col(F.col("mean"), 5).alias("mean"), *[round_col(F.col(c), 9).alias(c) for c in probs])
 
@@ -65,7 +65,7 @@ def pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sign_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicates on the side of the median difference, at every level."""
     loss = losses(spark, sf_dir)
-    df = C.pairwise_contrasts(loss, DIMS, MODELS, ["metric", "level"], line_count(spark, sf_dir))
+    df = C.pairwise_contrasts(loss, DIMS, MODELS, ["metric", "level"])
     return df.select("metric", "level", "model", "dim_A", "dim_B", "n_agree", "n_pairs")
 
 
@@ -82,7 +82,7 @@ def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_to_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = losses(spark, sf_dir).filter(F.col("level") == 3)
-    df = C.gap_to_others(at, DIMS, bound=line_count(spark, sf_dir))
+    df = C.gap_to_others(at, DIMS)
     return df.withColumn("gap", round_col(F.col("gap"), 9))
 
 
@@ -116,7 +116,7 @@ def leader_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading dimension at each level, and whether it is the same at all of them."""
     loss = losses(spark, sf_dir)
     keys = ["metric", "level"]
-    df = C.pairwise_contrasts(loss, DIMS, MODELS, keys, line_count(spark, sf_dir))
+    df = C.pairwise_contrasts(loss, DIMS, MODELS, keys)
     led = C.leaders(df, C.complete_models(loss, DIMS, keys), DIMS, keys)
     return led.join(C.stable_rows(led), "metric")
 
@@ -125,19 +125,18 @@ def raw_metric_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts from the metric itself at the highest level, without a clean baseline."""
     at = L.raw_loss(grid(spark, sf_dir).filter(F.col("level") == 3), DIRECTIONS)
     at = at.withColumn("loss", F.round("loss", 6))
-    bound = line_count(spark, sf_dir)
-    df = C.verdicts(C.pairwise_contrasts(at, DIMS, MODELS, bound=bound), C.gap_to_others(at, DIMS, bound=bound))
+    df = C.verdicts(C.pairwise_contrasts(at, DIMS, MODELS), C.gap_to_others(at, DIMS))
     return df.withColumn("gap", round_col(F.col("gap"), 9))
 
 
 def metric_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = {"qty": (20.0, 30.0)}
-    df = L.metric_band(grid(spark, sf_dir), ["price", "qty"], ["model", "dimension", "level"], clip, line_count(spark, sf_dir))
+    df = L.metric_band(grid(spark, sf_dir), ["price", "qty"], ["model", "dimension", "level"], clip)
     return df.select("model", "dimension", "level", "metric", *[F.round(c, 5).alias(c) for c in ("mean", "low", "high")])
 
 
 def effect_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = L.effect_size(losses(spark, sf_dir), ["metric", "dimension"], bound=line_count(spark, sf_dir))
+    df = L.effect_size(losses(spark, sf_dir), ["metric", "dimension"])
     return df.select("metric", "dimension", "n_pairs", *[round_col(F.col(c), 9).alias(c) for c in ("median", "low", "high")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnish.session import spread
+from tarnish.session import spread, staged
 from tarnish.spec import TableSpec
 
 SPAN_SQL = "281474976710656.0"
@@ -32,7 +32,8 @@ COHORT = TableSpec(
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with the shape of a cohort: ids, measures, 0/1 flags, one category."""
+    """Order lines with the shape of a cohort: ids, measures, 0/1 flags, one category. Staged, since
+    every operator reads it several times."""
     line = table(spark, sf_dir, "lineitem")
     shaped = line.select(
         "l_orderkey",
@@ -49,7 +50,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") >= 25).cast("double").alias("bulk"),
         F.col("l_linestatus").alias("status"),
     )
-    return spread(shaped, *COHORT.ids)
+    return staged(spread(shaped, *COHORT.ids))
 
 
 COHORT_SQL = """cohort AS (

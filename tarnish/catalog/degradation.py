@@ -113,7 +113,11 @@ WHERE rn <= (SELECT round_even({DENSITY}::DOUBLE * count(*) * {len(PREDICTORS)},
 
 NOISE_TEXT = f"concat('{SEED}:', row_id, ':', col, ':noise')"
 
-PRECISION_SQL = f"""WITH {COHORT_SQL},
+
+def precision_sql(digits: int | None) -> str:
+    """The disturbed cohort, numbers rounded to ``digits`` if given."""
+    shown = [f"{rounded('flat.' + c, digits)} AS {c}" if digits else f"flat.{c}" for c in NUMERIC]
+    return f"""WITH {COHORT_SQL},
 cells AS ({cells_sql(NUMERIC)}),
 rated AS (SELECT *,
     CASE WHEN col = 'quantity' THEN 0.3 WHEN col = 'price' AND num <> 0 THEN 0.3 ELSE 0.0 END::DOUBLE AS bias,
@@ -134,10 +138,11 @@ hit AS (SELECT row_id, col, txt, CASE
     WHEN {small_bits_sql(NOISE_TEXT)} % 2 = 0 THEN num * 0.1 ELSE num * 10.0 END AS num
   FROM ranked),
 flat AS ({wide_sql('hit')})
-SELECT row_id, {', '.join(f"{rounded('flat.' + c, 4)} AS {c}" for c in NUMERIC)}, cohort.status
+SELECT row_id, {', '.join(shown)}, cohort.status
 FROM flat JOIN cohort USING (row_id)"""
 
 
+
 def _swap_sql() -> str:
     flag_pairs = list(combinations(COHORT.flags, 2))
     options = []
@@ -219,7 +224,7 @@ QUERIES = {
 ORACLES = {
     "degrade_completeness": COMPLETENESS_SQL,
     "degrade_validity": VALIDITY_SQL,
-    "degrade_precision": PRECISION_SQL,
+    "degrade_precision": precision_sql(4),
     "degrade_coherence": _swap_sql(),
     "degrade_uniqueness": UNIQUENESS_SQL,
 }

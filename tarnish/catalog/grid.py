@@ -50,11 +50,6 @@ def grid(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
 
 
-def line_count(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of the source table, read from the file footers: bounds every grid."""
-    return table(spark, sf_dir, "lineitem").count()
-
-
 LINES_SQL = """lines AS (
   SELECT substr(o_orderpriority, 1, 1) AS dimension, l_returnflag AS model,
          round(l_discount * 100)::INT AS level, l_suppkey AS replicate, l_linestatus AS arm,

@@ -57,7 +57,7 @@ def sentinel_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentinels for missing measures, "missing" and 0/1 columns for the category."""
     df = prep.sentinel_encode(_degraded(spark, sf_dir), SENTINELS)
     df = prep.fill_category(df, ["status"])
-    categories = prep.fitted_categories(cohort(spark, sf_dir), "status")
+    categories = [r["v"] for r in prep.fitted_categories(cohort(spark, sf_dir), "status").orderBy("v").collect()]
     return prep.one_hot(df, "status", categories)
 
 
@@ -86,8 +86,7 @@ def standardise_in_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def median_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = table(spark, sf_dir, "customer").count() * REPLICATES * 2
-    df = prep.median_indicator(_split_with_holes(spark, sf_dir), ["c_acctbal", "nation"], bound=bound)
+    df = prep.median_indicator(_split_with_holes(spark, sf_dir), ["c_acctbal", "nation"])
     real = [round_col(F.col(c), 6).alias(c) for c in ("c_acctbal", "nation")]
     return df.select("row_id", "replicate", "draws", "c_acctbal_missing", "nation_missing", *real)
 

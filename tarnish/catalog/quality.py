@@ -13,27 +13,32 @@ from tarnish.catalog.degradation import (
     ORACLES as DEGRADED,
     SEED,
     UNIQUENESS_SQL,
+    VALIDITY_SQL,
+    precision_sql,
 )
-from tarnish.catalog.grid import DIMS, LEVELS, LOSS_SQL, MODELS, grid, grid_sql, line_count, lines
+from tarnish.catalog.grid import DIMS, LEVELS, LOSS_SQL, MODELS, grid, grid_sql, lines
 from tarnish.operators import checks, composite, degrade, prep
 from tarnish.operators.cells import close_cells
 from tarnish.plans import arms
 from tarnish.plans import losses as L
 from tarnish.plans import mixed_model as MM
 
-MEASURES = ["quantity", "price", "discount", "tax"]
+MEASURES = COHORT.numeric
+DIMENSIONS = ["completeness", "coherence", "uniqueness", "validity", "precision"]
 
 
-def _degrade(spark: SparkSession, sf_dir: str, dimension: str) -> DataFrame:
-    return degrade.OPERATORS[dimension](cohort(spark, sf_dir), COHORT, DENSITY, SEED).df
+def _pairs(spark: SparkSession, sf_dir: str, columns: list[str]) -> dict[str, DataFrame]:
+    """Per dimension the clean and the degraded value of every cell, side by side."""
+    clean = cohort(spark, sf_dir)
+    works = {d: degrade.OPERATORS[d](clean, COHORT, DENSITY, SEED).work for d in DIMENSIONS}
+    return {d: checks.side_by_side(work, columns) for d, work in works.items()}
 
 
 def change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Realised rate of three operators and whether it meets the requested one."""
+    """Realised rate of every operator and whether it meets the requested one."""
     out = None
-    for dim in ("completeness", "coherence", "uniqueness"):
-        after = _degrade(spark, sf_dir, dim)
-        rates = checks.change_rate(cohort(spark, sf_dir), after, COHORT.ids, COHORT.predictors)
+    for dim, pairs in _pairs(spark, sf_dir, COHORT.predictors).items():
+        rates = checks.change_rate(pairs, COHORT.predictors)
         checked = checks.rate_check(rates, DENSITY, dim in degrade.APPROXIMATE_RATE)
         row = checked.drop("target").withColumn("dimension", F.lit(dim))
         out = row if out is None else out.unionByName(row)
@@ -41,10 +46,8 @@ def change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = cohort(spark, sf_dir)
-    after = {d: _degrade(spark, sf_dir, d) for d in ("completeness", "coherence", "uniqueness")}
-    scale = prep.winsorised_scale(clean, MEASURES)
-    df = checks.severity_profile(clean, after, COHORT.ids, MEASURES, scale)
+    scale = prep.winsorised_scale(cohort(spark, sf_dir), MEASURES)
+    df = checks.severity_profile(_pairs(spark, sf_dir, MEASURES), MEASURES, scale)
     return df.select("dimension", *[F.round(c, 6).alias(c) for c in df.columns if c != "dimension"])
 
 
@@ -80,7 +83,7 @@ def arm_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = arms.wide_arms(grid(spark, sf_dir, "arm").filter(F.col("level") == 3), ("F", "O"), ["price", "qty"])
     medians = None
     for m in ("price", "qty"):
-        part = L.grouped_quantiles(wide, ["model"], f"d_{m}", {f"median_{m}": 0.5}, line_count(spark, sf_dir))
+        part = L.grouped_quantiles(wide, ["model"], f"d_{m}", {f"median_{m}": 0.5})
         medians = part if medians is None else medians.join(part, "model")
     worst = wide.groupBy("model").agg(*[F.max(F.abs(f"d_{m}")).alias(f"worst_{m}") for m in ("price", "qty")])
     df = medians.join(worst, "model")
@@ -205,7 +208,7 @@ def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def residual_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = _qty_loss(spark, sf_dir)
-    return MM.plotting_positions(MM.residuals(loss, _fit(loss)), line_count(spark, sf_dir))
+    return MM.plotting_positions(MM.residuals(loss, _fit(loss)))
 
 
 # ------------------------------------------------------------------ oracle text
@@ -232,7 +235,18 @@ def _severity_sql(dimension: str, after: str) -> str:
   round(100.0::DOUBLE * count(*) FILTER (moved > 5) / nullif(count(moved), 0), 6) AS beyond5_pct FROM ({cells})"""
 
 
-AFTER = {"completeness": COMPLETENESS_SQL, "coherence": DEGRADED["degrade_coherence"], "uniqueness": UNIQUENESS_SQL}
+_TOKENS = ", ".join(f"""max(token) FILTER ("column" = '{c}') AS t_{c}""" for c in ALL_COLUMNS)
+_READ = ", ".join(f"CASE WHEN t_{c} IS NULL THEN {c} ELSE try_cast(t_{c} AS DOUBLE) END AS {c}" for c in COHORT.numeric)
+#: Tokens read as numbers where they are some; the rest of a touched cell is null, which still counts as changed.
+READ_SQL = f"""SELECT c.row_id, {_READ}, coalesce(t_status, status) AS status
+  FROM cohort c LEFT JOIN (SELECT row_id, {_TOKENS} FROM ({VALIDITY_SQL}) GROUP BY row_id) w ON c.row_id = w.row_id"""
+AFTER = {
+    "completeness": COMPLETENESS_SQL,
+    "coherence": DEGRADED["degrade_coherence"],
+    "uniqueness": UNIQUENESS_SQL,
+    "validity": READ_SQL,
+    "precision": precision_sql(None),
+}
 ARMS_SQL = f"""{grid_sql('arm')},
 f AS (SELECT dimension, model, level, replicate, price, qty FROM grid WHERE arm = 'F'),
 o AS (SELECT dimension, model, level, replicate, price, qty FROM grid WHERE arm = 'O')"""

@@ -52,12 +52,12 @@ def _rounded(df: DataFrame, keys: list[str], digits: int = 8) -> DataFrame:
 
 def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = line_scores(spark, sf_dir)
-    return _rounded(M.ranking_metrics(pred, GROUPS, pred.count()).select(*GROUPS, "auc"), GROUPS)
+    return _rounded(M.ranking_metrics(pred, GROUPS).select(*GROUPS, "auc"), GROUPS)
 
 
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = line_scores(spark, sf_dir)
-    return _rounded(M.ranking_metrics(pred, GROUPS, pred.count()).select(*GROUPS, "auprc"), GROUPS)
+    return _rounded(M.ranking_metrics(pred, GROUPS).select(*GROUPS, "auprc"), GROUPS)
 
 
 def f1_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def f1_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = document_scores(spark, sf_dir)
-    return _rounded(M.classification_metrics(pred, GROUPS, table(spark, sf_dir, "labels").count()), GROUPS)
+    return _rounded(M.classification_metrics(pred, GROUPS), GROUPS)
 
 
 def prediction_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +148,7 @@ def estimator_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _plus(spark, sf_dir).select(
         cond.alias("cond"), F.concat_ws("/", "model", "dimension").alias("model"), "metric", "replicate", "v632", "vplus"
     )
-    bound = table(spark, sf_dir, "lineitem").count()
-    return _rounded(M.estimator_contrast(parts, "c2", "c3", bound=bound), ["metric", "model"])
+    return _rounded(M.estimator_contrast(parts, "c2", "c3"), ["metric", "model"])
 
 
 def stage_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,53 +215,49 @@ subj AS (
   SELECT bootstrap, least(days, 90)::DOUBLE AS time, o_orderstatus = 'F' AND days < 90 AS event, risk FROM folded WHERE days > 0)"""
 
 
-def _subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    return durations(spark, sf_dir), table(spark, sf_dir, "orders").count()
-
-
 def c_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, bound = _subjects(spark, sf_dir)
-    out = S.c_index(pred, ["bootstrap"], bound)
+    pred = durations(spark, sf_dir)
+    out = S.c_index(pred, ["bootstrap"])
     return out.select("bootstrap", "concordant", "comparable", F.round("c_index", 9).alias("c_index"))
 
 
 def km_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, bound = _subjects(spark, sf_dir)
-    return S.censoring_law(pred, bound).select("time", F.round("uncensored", 9).alias("uncensored"))
+    pred = durations(spark, sf_dir)
+    return S.censoring_law(pred).select("time", F.round("uncensored", 9).alias("uncensored"))
 
 
-def _baseline(pred: DataFrame, bound: int) -> DataFrame:
-    return S.breslow(pred.withColumn("eta", F.col("risk")), ["bootstrap"], bound)
+def _baseline(pred: DataFrame) -> DataFrame:
+    return S.breslow(pred.withColumn("eta", F.col("risk")), ["bootstrap"])
 
 
 def breslow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, bound = _subjects(spark, sf_dir)
-    return _rounded(_baseline(pred, bound), ["bootstrap", "time"])
+    pred = durations(spark, sf_dir)
+    return _rounded(_baseline(pred), ["bootstrap", "time"])
 
 
 def hazard_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, bound = _subjects(spark, sf_dir)
-    out = S.hazard_at(_baseline(pred, bound), ["bootstrap"], [0.5, 7.25, 14.0, 30.5, 89.5, 200.0])
+    pred = durations(spark, sf_dir)
+    out = S.hazard_at(_baseline(pred), ["bootstrap"], [0.5, 7.25, 14.0, 30.5, 89.5, 200.0])
     return _rounded(out.drop("center"), ["bootstrap", "point"])
 
 
 def brier_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, bound = _subjects(spark, sf_dir)
+    pred = durations(spark, sf_dir)
     scored = pred.withColumn("eta", F.col("risk"))
-    out = S.brier_scores(scored, ["bootstrap"], pred, _baseline(pred, bound), S.HORIZONS, bound)
+    out = S.brier_scores(scored, ["bootstrap"], pred, _baseline(pred), S.HORIZONS)
     return _rounded(out, ["bootstrap", "point"])
 
 
 def ibs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, bound = _subjects(spark, sf_dir)
+    pred = durations(spark, sf_dir)
     scored = pred.withColumn("eta", F.col("risk"))
-    curve = S.brier_scores(scored, ["bootstrap"], pred, _baseline(pred, bound), S.integration_grid(pred), bound)
+    curve = S.brier_scores(scored, ["bootstrap"], pred, _baseline(pred), S.integration_grid(pred))
     return _rounded(S.integrated(curve, ["bootstrap"]), ["bootstrap"])
 
 
 def survival_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, bound = _subjects(spark, sf_dir)
-    return _rounded(M.survival_diagnostics(pred, ["bootstrap"], bound), ["bootstrap"])
+    pred = durations(spark, sf_dir)
+    return _rounded(M.survival_diagnostics(pred, ["bootstrap"]), ["bootstrap"])
 
 
 BASELINE_SQL = f"""{DURATIONS_SQL},

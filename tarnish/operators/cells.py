@@ -20,10 +20,12 @@ TOUCHED_SCHEMA = "row_id string, column string, dimension string, before string,
 
 
 class Degraded(NamedTuple):
-    """A degraded table and the list of cells that were touched."""
+    """A degraded table, the list of cells that were touched, and the working form behind both, in
+    which every cell stands next to its clean value."""
 
     df: DataFrame
     touched: DataFrame
+    work: DataFrame | None = None
 
 
 def row_id(spec: TableSpec) -> Column:
@@ -96,7 +98,7 @@ def close_cells(work: DataFrame, spec: TableSpec, columns: list[str]) -> Degrade
         .select("row_id", "cell.column", "cell.dimension", "cell.before", "cell.after")
         .filter(F.col("dimension").isNotNull())
     )
-    return Degraded(work.select(*columns), touched)
+    return Degraded(work.select(*columns), touched, work)
 
 
 def nothing_touched(df: DataFrame) -> Degraded:

@@ -153,8 +153,14 @@ def validity(
 # ------------------------------------------------------------------- precision
 
 
-def _finite(c: str) -> Column:
-    return F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(1e307))
+def _finite(value: Column) -> Column:
+    return value.isNotNull() & (F.abs(value) < F.lit(math.inf))
+
+
+def _stays_finite(spec: TableSpec, c: str, seed: int) -> Column:
+    """Whether the cell and what would be written are finite; small values need no trial."""
+    x = F.col(c)
+    return _finite(x) & ((F.abs(x) < F.lit(1e300)) | _finite(precision_value(spec, c, seed)))
 
 
 def _mode_shares(spec: TableSpec, c: str) -> tuple[Column, Column]:
@@ -179,7 +185,7 @@ def precision_keys(spec: TableSpec, seed: int) -> dict[str, Column]:
         bias, impulse = _mode_shares(spec, c)
         weight = F.lit(MODE_SHARES["noise"]) + bias + impulse
         u = unit(wide_bits(digest(seed, F.col("__row"), c)))
-        keys[c] = F.when(free(c) & _finite(c), exponential_rank(u, weight, MODE_SHARES["noise"]))
+        keys[c] = F.when(free(c) & _stays_finite(spec, c, seed), exponential_rank(u, weight, MODE_SHARES["noise"]))
     return keys
 
 
@@ -311,17 +317,23 @@ def coherence(df: DataFrame, spec: TableSpec, density: float, seed: int = 42) ->
 # ------------------------------------------------------------------ uniqueness
 
 
-def draw_copies(work: DataFrame, spec: TableSpec, budget: int, seed: int, n_rows: int | None = None) -> DataFrame:
+def one_per_id(work: DataFrame) -> tuple[DataFrame, int]:
+    """One row of each id, and their number: copies are drawn and joined by id, so rows that share
+    one are drawn once and overwritten together."""
+    n_rows, n_ids = work.agg(F.count(F.lit(1)), F.count_distinct("__row")).first()
+    return (work if n_ids == n_rows else work.dropDuplicates(["__row"])), n_ids
+
+
+def draw_copies(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> DataFrame:
     """Pairs (target, donor, key, n_changed) whose changed cells use up the budget.
 
     Every row is a possible target with one drawn donor: one time in three from the
     records at or above the donor column's quantile, else from all records. Donors are
     found by their number in a hash order. A row that would not change is no target.
     """
-    n_rows = work.count() if n_rows is None else n_rows
     preds = spec.predictors
+    rows, n_rows = one_per_id(work.select("__row", *preds))
     pools, sizes = [F.lit("all")], {"all": n_rows}
-    rows = work.select("__row", *preds)
     if spec.donor_column is not None:
         threshold = column_quantiles(rows, [spec.donor_column], [spec.donor_quantile])[spec.donor_column][0]
         if threshold is not None:
@@ -334,7 +346,7 @@ def draw_copies(work: DataFrame, spec: TableSpec, budget: int, seed: int, n_rows
         F.col("__row").alias("__donor"),
         *[F.col(c).alias(f"__d_{c}") for c in preds],
     )
-    donors = number_rows(donors, ["__pool"], "__bits", "__donor", bound=sum(sizes.values()))
+    donors = number_rows(donors, ["__pool"], "__bits", "__donor")
     own = digest(seed, F.col("__row"), "copy")
     upper = (unit(wide_bits(own, 1)) < F.lit(1.0 / 3.0)) if sizes.get("upper") else F.lit(False)
     pool = F.when(upper, F.lit("upper")).otherwise(F.lit("all"))
@@ -352,14 +364,9 @@ def draw_copies(work: DataFrame, spec: TableSpec, budget: int, seed: int, n_rows
         .select("__row", "__donor", "key", n_changed.alias("n_changed"))
         .filter(F.col("n_changed") > 0)
     )
-    # most targets lie beyond the boundary: try twice the expected share of them first
-    share = min(1.0, 2.0 * budget / max(1, n_rows * len(preds)))
-    for limit in sorted({share, 1.0}):
-        pairs = staged(paired.filter(F.col("key") <= F.lit(limit)))
-        ranked = pairs.select("key", F.col("__row").alias("tie"), F.col("n_changed").alias("amount"))
-        cut = cut_smallest(ranked, budget)
-        if not cut.everything:
-            break
+    pairs = staged(paired)
+    ranked = pairs.select("key", F.col("__row").alias("tie"), F.col("n_changed").alias("amount"))
+    cut = cut_smallest(ranked, budget)
     return pairs.filter(cut.keeps(F.col("key"), F.col("__row")))
 
 
@@ -370,7 +377,7 @@ def apply_copies(work: DataFrame, spec: TableSpec, pairs: DataFrame, with_tags:
     source = work.select(F.col("__row").alias("__src"), *[F.col(c).alias(f"__d_{c}") for c in carried])
     fetched = (
         pairs.select(F.col("__row").alias("__target"), F.col("__donor").alias("__src"))
-        .join(source, "__src")
+        .join(source.dropDuplicates(["__src"]), "__src")
         .withColumnRenamed("__src", "__from")
     )
     hit = F.col("__target").isNotNull()
@@ -390,9 +397,8 @@ def uniqueness(df: DataFrame, spec: TableSpec, density: float, seed: int = 42) -
     if density == 0.0:
         return nothing_touched(df)
     work = open_cells(df, spec)
-    n_rows = df.count()
-    budget = at_least_one(density, n_rows * len(spec.predictors))
-    pairs = draw_copies(work, spec, budget, seed, n_rows)
+    budget = at_least_one(density, df.count() * len(spec.predictors))
+    pairs = draw_copies(work, spec, budget, seed)
     return close_cells(apply_copies(work, spec, pairs), spec, df.columns)
 
 

@@ -2,7 +2,7 @@
 
 A window over a whole group puts that group in one task. Here a group is cut into
 ordered buckets, bucket totals are summed up, and windows only run inside a bucket.
-Tables known to be small (``bound``) take the direct window instead.
+The plan is the same at every size; a small table has a single bucket.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnish.session import staged
+
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1 << 14
 
 
 def _same(df: DataFrame, other: DataFrame, keys: list[str]) -> Column:
@@ -32,7 +33,7 @@ def with_value_bucket(df: DataFrame, order: str, n_rows: int, rows_per_bucket: i
     Split points come from a quantile sketch; they only steer balance, so any error in
     them leaves the results exact.
     """
-    n = min(MAX_BUCKETS, max(1, math.ceil(n_rows / rows_per_bucket)))
+    n = max(1, math.ceil(n_rows / rows_per_bucket))
     probs = [i / n for i in range(1, n)]
     splits = sorted(set(df.approxQuantile(order, probs, 1.0 / (4 * n)))) if probs else []
     if not splits:
@@ -44,28 +45,15 @@ def with_value_bucket(df: DataFrame, order: str, n_rows: int, rows_per_bucket: i
 
 
 def prefix_sums(
-    df: DataFrame,
-    groups: list[str],
-    order: str,
-    columns: list[str],
-    bound: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, groups: list[str], order: str, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Add ``before_c`` (sum of c over smaller ``order`` in the group) and ``total_c``.
 
     ``(groups, order)`` must be unique: pre-aggregate ties first, which also collapses
-    a value that holds most of the rows.
+    a value that holds most of the rows. The input is computed once and staged.
     """
-    n_rows = df.count() if bound is None else bound
-    if n_rows <= rows_per_bucket:
-        earlier = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*groups)
-        return df.select(
-            "*",
-            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in columns],
-            *[F.sum(c).over(whole).alias(f"total_{c}") for c in columns],
-        )
-    bucketed = with_value_bucket(df, order, n_rows, rows_per_bucket)
+    df = staged(df)
+    bucketed = with_value_bucket(df, order, df.count(), rows_per_bucket)
     totals = bucketed.groupBy(*groups, "__bucket").agg(*[F.sum(c).alias(f"__s_{c}") for c in columns])
     earlier = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -79,7 +67,7 @@ def prefix_sums(
     local = bucketed.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__l_{c}") for c in columns]
     )
-    on = local["__bucket"] == offsets["__g_bucket"]
+    on = local["__bucket"].eqNullSafe(offsets["__g_bucket"])  # a null order has no bucket
     for g in groups:
         on = on & local[g].eqNullSafe(offsets[f"__g_{g}"])
     return local.join(offsets, on).select(
@@ -90,26 +78,14 @@ def prefix_sums(
 
 
 def number_rows(
-    df: DataFrame,
-    groups: list[str],
-    bits: str,
-    tie: str,
-    out: str = "ordinal",
-    bound: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, groups: list[str], bits: str, tie: str, out: str = "ordinal", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Number rows 0..n-1 inside each group in the order of a 48-bit hash column.
 
     The top hash bits are the bucket, so buckets are even whatever the group sizes.
     Adds ``out`` and ``n_<out>`` (the group size).
     """
-    n_rows = df.count() if bound is None else bound
-    depth = min(16, max(0, math.ceil(math.log2(max(1, n_rows) / rows_per_bucket))))
-    if depth == 0:
-        ranked = Window.partitionBy(*groups).orderBy(bits, tie)
-        return df.withColumn(out, F.row_number().over(ranked) - 1).withColumn(
-            f"n_{out}", F.count(F.lit(1)).over(Window.partitionBy(*groups))
-        )
+    depth = min(48, max(0, math.ceil(math.log2(max(1, df.count()) / rows_per_bucket))))
     bucketed = df.withColumn("__bucket", F.shiftright(F.col(bits), 48 - depth))
     totals = bucketed.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,26 +110,17 @@ def grouped_quantiles(
     groups: list[str],
     value: str,
     probs: dict[str, float],
-    bound: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     weight: str | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one output column per entry.
 
-    ``weight`` names a column of row counts for a table that is already counted.
+    ``weight`` names a column of row counts for a table that is already counted. A group
+    whose values are all null gets nulls.
     """
-    n_rows = df.count() if bound is None else bound
-    times = F.lit(1) if weight is None else F.col(weight)
-    if n_rows <= rows_per_bucket:
-        return df.groupBy(*groups).agg(
-            *[F.percentile(value, p, times).alias(name) for name, p in probs.items()]
-        )
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("__v"))
-        .agg(F.sum(times).alias("__n"))
-    )
-    placed = prefix_sums(counted, groups, "__v", ["__n"], n_rows, rows_per_bucket)
+    times = F.when(F.col(value).isNotNull(), F.lit(1) if weight is None else F.col(weight)).otherwise(0)
+    counted = df.groupBy(*groups, F.col(value).cast("double").alias("__v")).agg(F.sum(times).cast("long").alias("__n"))
+    placed = prefix_sums(counted, groups, "__v", ["__n"], rows_per_bucket)
     picks = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("total___n") - 1)
@@ -162,20 +129,15 @@ def grouped_quantiles(
             picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{side}_{name}"))
         picks.append(F.max(at - F.floor(at)).alias(f"__f_{name}"))
     found = placed.groupBy(*groups).agg(*picks)
-    values = found.select(
+    return found.select(
         *groups,
         *[
-            (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n)
+            F.when(F.col(f"__lo_{n}") == F.col(f"__hi_{n}"), F.col(f"__lo_{n}"))
+            .otherwise((1 - F.col(f"__f_{n}")) * F.col(f"__lo_{n}") + F.col(f"__f_{n}") * F.col(f"__hi_{n}"))
+            .alias(n)
             for n in probs
         ],
     )
-    # groups whose values are all null still get a row, as the aggregate would give
-    keys = df.select(*groups).distinct()
-    values = values.select(*[F.col(g).alias(f"__g_{g}") for g in groups], *probs)
-    on = F.lit(True)
-    for g in groups:
-        on = on & keys[g].eqNullSafe(values[f"__g_{g}"])
-    return keys.join(values, on, "left").select(*groups, *probs)
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:

@@ -43,12 +43,10 @@ def fill_category(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in columns})
 
 
-def fitted_categories(clean: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Distinct categories of the clean table in sorted order; a category column is small."""
-    rows = clean.select(F.col(column).cast("string").alias("v")).distinct().orderBy("v").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return [r["v"] for r in rows if r["v"] is not None]
+def fitted_categories(clean: DataFrame, column: str) -> DataFrame:
+    """``v``: the distinct categories of the clean table. Each becomes a column of ``one_hot``, so
+    whoever calls that decides how many there may be."""
+    return clean.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct()
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
@@ -117,7 +115,7 @@ def standardise_in_bag(df: DataFrame, columns: Sequence[str], replicate: str = "
 
 
 def median_indicator(
-    df: DataFrame, columns: Sequence[str], replicate: str = "replicate", draws: str = "draws", bound: int | None = None
+    df: DataFrame, columns: Sequence[str], replicate: str = "replicate", draws: str = "draws"
 ) -> DataFrame:
     """In-bag median imputation with 0/1 missingness indicators per replicate.
 
@@ -129,7 +127,7 @@ def median_indicator(
     )
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     long = bag.select(replicate, F.explode(F.array(*cells)).alias("c")).select(replicate, "c.column", "c.value")
-    medians = grouped_quantiles(long, [replicate, "column"], "value", {"median": 0.5}, bound)
+    medians = grouped_quantiles(long, [replicate, "column"], "value", {"median": 0.5})
     fills = medians.groupBy(replicate).agg(
         *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"__f_{c}") for c in columns]
     )

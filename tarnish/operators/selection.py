@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKETS = 1 << 14
-BOUNDARY_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -46,11 +45,7 @@ def _digit(key: Column, low: float, width: float) -> Column:
     return F.greatest(F.lit(0), F.least(raw, F.lit(BUCKETS - 1))).cast("int")
 
 
-def cut_smallest(
-    candidates: DataFrame,
-    budget: int | Callable[[int], int],
-    boundary_rows: int = BOUNDARY_ROWS,
-) -> Cut:
+def cut_smallest(candidates: DataFrame, budget: int | Callable[[int], int]) -> Cut:
     """Boundary of the smallest-key rows of ``candidates(key, tie[, amount])``.
 
     ``key`` is a double in (0, 1) and (key, tie) is unique. A row is kept while the
@@ -64,7 +59,13 @@ def cut_smallest(
     while True:
         counts = sorted(
             current.groupBy(_digit(F.col("key"), low, width).alias("digit"))
-            .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
+            .agg(
+                F.sum("amount").alias("amount"),
+                F.min("key").alias("first"),
+                F.max("key").alias("last"),
+                F.min("tie").alias("tie"),
+                F.count(F.lit(1)).alias("n"),
+            )
             .collect()
         )
         if need is None:
@@ -80,19 +81,13 @@ def cut_smallest(
                 break
             before += row["amount"]
         need -= before
+        if row["n"] == 1:
+            return Cut(row["first"], row["tie"], total)
         current = current.filter(_digit(F.col("key"), low, width) == F.lit(row["digit"]))
-        if row["n"] <= boundary_rows:
+        if row["first"] == row["last"]:
             break
         low, width = low + row["digit"] * width / BUCKETS, width / BUCKETS
-        if width < 1e-17:
-            raise ValueError("too many equal keys: the row id does not identify rows")
-    # at most ``boundary_rows`` rows are left, so one ordered window is bounded
-    running = F.sum("amount").over(Window.orderBy("key", "tie"))
-    edge = (
-        current.withColumn("running", running)
-        .filter(F.col("running") >= F.lit(need))
-        .orderBy("running", "key", "tie")
-        .limit(1)
-        .collect()[0]
-    )
+    # rows of one key: keys are hashes of some 48 bits, so only a column that does not vary has many
+    running = F.sum("amount").over(Window.orderBy("tie"))
+    edge = current.withColumn("running", running).filter(F.col("running") >= F.lit(need)).orderBy("running", "tie").first()
     return Cut(edge["key"], edge["tie"], total)

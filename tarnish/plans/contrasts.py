@@ -36,7 +36,7 @@ def differences(wide: DataFrame, keys: Sequence[str], dims: Sequence[str]) -> Da
     )
 
 
-def rank_sum(df: DataFrame, groups: Sequence[str], value: str, flag: Column, bound: int | None = None, **size) -> DataFrame:
+def rank_sum(df: DataFrame, groups: Sequence[str], value: str, flag: Column, **size) -> DataFrame:
     """Sum of average-tie ranks of the flagged rows in each group.
 
     Ties are collapsed before ranks are formed. Returns n_ranked, n_flag, rank_sum and
@@ -45,7 +45,7 @@ def rank_sum(df: DataFrame, groups: Sequence[str], value: str, flag: Column, bou
     tied = df.groupBy(*groups, F.col(value).alias("__v")).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(flag.cast("long")).alias("__flagged")
     )
-    placed = prefix_sums(tied, list(groups), "__v", ["__n"], bound, **size)
+    placed = prefix_sums(tied, list(groups), "__v", ["__n"], **size)
     t = F.col("__n").cast("double")
     return placed.groupBy(*groups).agg(
         F.sum("__n").alias("n_ranked"),
@@ -69,14 +69,14 @@ def signed_rank_table(spark, max_n: int = EXACT_PAIRS) -> DataFrame:
     return spark.createDataFrame(rows, "x_n long, x_stat double, x_cdf double")
 
 
-def signed_rank(diffs: DataFrame, groups: Sequence[str], bound: int | None = None, **size) -> DataFrame:
+def signed_rank(diffs: DataFrame, groups: Sequence[str], **size) -> DataFrame:
     """Two-sided signed-rank test per group over the column ``diff``.
 
     Zero differences are dropped. Up to 50 differences without zeros or ties take the
     exact distribution, all others the normal approximation with the tie correction.
     """
     moved = diffs.filter(F.col("diff") != 0).withColumn("__size", F.abs(F.col("diff")))
-    ranks = rank_sum(moved, groups, "__size", F.col("diff") > 0, bound, **size)
+    ranks = rank_sum(moved, groups, "__size", F.col("diff") > 0, **size)
     n = F.col("n_ranked").cast("double")
     total = n * (n + 1) / 2
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("tie_term") / 2) / 24)
@@ -110,7 +110,6 @@ def pairwise_contrasts(
     dims: Sequence[str],
     models: Sequence[str],
     keys: Sequence[str] = ("metric",),
-    bound: int | None = None,
 ) -> DataFrame:
     """All pairs of dimensions per model: median difference, interval, test, agreement.
 
@@ -126,8 +125,8 @@ def pairwise_contrasts(
         F.count_if(F.col("diff") < 0).alias("n_down"),
     )
     probs = {"median_diff": 0.5, "pct2_5": 0.025, "pct97_5": 0.975}
-    spread = grouped_quantiles(diffs, groups, "diff", probs, bound)
-    tests = signed_rank(diffs, groups, bound)
+    spread = grouped_quantiles(diffs, groups, "diff", probs)
+    tests = signed_rank(diffs, groups)
     cells = [
         F.struct(F.lit(m).alias("model"), F.lit(a).alias("dim_A"), F.lit(b).alias("dim_B"))
         for m in models
@@ -165,7 +164,7 @@ def pair_order(contrasts: DataFrame, keys: Sequence[str] = ("metric",)) -> DataF
 
 
 def gap_to_others(
-    loss: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("metric",), bound: int | None = None
+    loss: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("metric",)
 ) -> DataFrame:
     """Median over replicates of a dimension's loss minus the mean loss of the others."""
     keys = list(keys)
@@ -182,7 +181,7 @@ def gap_to_others(
         .select(*keys, "model", "g.*")
         .filter(F.col("gap").isNotNull())
     )
-    return grouped_quantiles(long, [*keys, "model", "dimension"], "gap", {"gap": 0.5}, bound)
+    return grouped_quantiles(long, [*keys, "model", "dimension"], "gap", {"gap": 0.5})
 
 
 def sided(contrasts: DataFrame, keys: Sequence[str]) -> DataFrame:

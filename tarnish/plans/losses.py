@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnish.operators.ordering import grouped_quantiles
+from tarnish.session import staged
 
 # Metric -> whether larger is better; corruption levels in tenths.
 METRIC_DIRECTIONS = {
@@ -45,15 +46,18 @@ def signed(direction: str, base: Column, value: Column) -> Column:
 
 
 def with_baseline(results: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Each corrupted row next to every clean row of its replicate (inner, duplicates
-    fan out). One shuffle on the replicate: the clean rows ride along as an array."""
-    w = Window.partitionBy(*keys, "dimension", "model", "replicate")
-    clean = F.collect_list(F.when(F.col("level") == 0, F.struct(*metrics))).over(w)
-    return (
-        results.withColumn("base", clean)
-        .filter(F.col("level") != 0)
-        .withColumn("base", F.explode("base"))
-    )
+    """Each corrupted row next to every clean row of its replicate (inner join, duplicates fan out)."""
+    results = staged(results)
+    on = [*keys, "dimension", "model", "replicate"]
+    clean = results.filter(F.col("level") == 0)
+    clean = clean.select(*[F.col(k).alias(f"__{k}") for k in on], F.struct(*metrics).alias("base"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in on])
+    return results.filter(F.col("level") != 0).join(clean, same).drop(*[f"__{k}" for k in on])
+
+
+def first_pairs(results: DataFrame, keys: Sequence[str], ingest_order: str) -> DataFrame:
+    """The first row of each replicate and level, so that a repeated run does not pair twice."""
+    return first_per_key(results, [*keys, "dimension", "model", "level", "replicate"], ingest_order)
 
 
 def paired_loss(
@@ -99,14 +103,13 @@ def metric_band(
     metrics: Sequence[str],
     keys: Sequence[str],
     clip: Mapping[str, tuple[float, float]] | None = None,
-    bound: int | None = None,
 ) -> DataFrame:
     """Mean and 2.5 / 97.5 percentiles of each metric per key, optionally clipped for display."""
     cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]
     long = results.select(*keys, F.explode(F.array(*cells)).alias("m")).select(*keys, "m.metric", "m.value")
     groups = [*keys, "metric"]
     mean = long.groupBy(*groups).agg(F.avg("value").alias("mean"))
-    band = grouped_quantiles(long, groups, "value", {"low": 0.025, "high": 0.975}, bound)
+    band = grouped_quantiles(long, groups, "value", {"low": 0.025, "high": 0.975})
     out = mean.join(band, groups)
     for metric, (lo, hi) in (clip or {}).items():
         for c in ("mean", "low", "high"):
@@ -115,12 +118,12 @@ def metric_band(
     return out
 
 
-def effect_size(loss: DataFrame, keys: Sequence[str], level: int = 3, bound: int | None = None) -> DataFrame:
+def effect_size(loss: DataFrame, keys: Sequence[str], level: int = 3) -> DataFrame:
     """Median change and percentile interval, pooled over the models of a key."""
     at = loss.filter(F.col("level") == level)
     counts = at.groupBy(*keys).agg(F.count("loss").alias("n_pairs"))
     probs = {"median": 0.5, "low": 0.025, "high": 0.975}
-    return counts.join(grouped_quantiles(at, list(keys), "loss", probs, bound), list(keys))
+    return counts.join(grouped_quantiles(at, list(keys), "loss", probs), list(keys))
 
 
 def relative_change(

@@ -21,7 +21,7 @@ def _none_if_zero(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 
 
-def ranking_metrics(pred: DataFrame, groups: Sequence[str], bound: int | None = None, **size) -> DataFrame:
+def ranking_metrics(pred: DataFrame, groups: Sequence[str], **size) -> DataFrame:
     """AUC and average precision per group, null where only one class is present.
 
     Equal scores are collapsed first; both metrics are sums over distinct scores of what
@@ -30,7 +30,7 @@ def ranking_metrics(pred: DataFrame, groups: Sequence[str], bound: int | None =
     tied = pred.filter(F.col("score").isNotNull()).groupBy(*groups, "score").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("y").cast("long")).alias("pos")
     )
-    placed = prefix_sums(tied, list(groups), "score", ["rows", "pos"], bound, **size)
+    placed = prefix_sums(tied, list(groups), "score", ["rows", "pos"], **size)
     pos = F.col("pos").cast("double")
     neg_here = F.col("rows") - F.col("pos")
     neg_below = F.col("before_rows") - F.col("before_pos")
@@ -73,8 +73,8 @@ def threshold_metrics(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def classification_metrics(pred: DataFrame, groups: Sequence[str], bound: int | None = None) -> DataFrame:
-    return threshold_metrics(pred, groups).join(ranking_metrics(pred, groups, bound), list(groups), "left")
+def classification_metrics(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return threshold_metrics(pred, groups).join(ranking_metrics(pred, groups), list(groups), "left")
 
 
 def regression_metrics(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -116,14 +116,14 @@ def with_prior(pred: DataFrame, groups: Sequence[str], split: str = "split") ->
     return pred.join(rate, list(groups), "left")
 
 
-def survival_diagnostics(pred: DataFrame, groups: Sequence[str], bound: int | None = None) -> DataFrame:
+def survival_diagnostics(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Moments of the risk score, event rate and median time."""
     base = pred.groupBy(*groups).agg(
         F.avg("risk").alias("risk_mean"),
         F.var_pop("risk").alias("risk_var"),
         F.avg(F.col("event").cast("double")).alias("event_rate"),
     )
-    return base.join(grouped_quantiles(pred, list(groups), "time", {"median_time": 0.5}, bound), list(groups))
+    return base.join(grouped_quantiles(pred, list(groups), "time", {"median_time": 0.5}), list(groups))
 
 
 def mean_over_seeds(metrics: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -169,7 +169,7 @@ def point632plus(rows: DataFrame, keys: Sequence[str], metric: str = "metric", g
 
 
 def estimator_contrast(
-    parts: DataFrame, first: str, second: str, columns: Sequence[str] = ("v632", "vplus"), bound: int | None = None
+    parts: DataFrame, first: str, second: str, columns: Sequence[str] = ("v632", "vplus")
 ) -> DataFrame:
     """Median over replicates of (loss under first - loss under second), per estimator.
 
@@ -190,12 +190,12 @@ def estimator_contrast(
     )
     out = None
     for c in columns:
-        part = grouped_quantiles(diffs.filter(F.col(c).isNotNull()), ["metric", "model"], c, {c: 0.5}, bound)
+        part = grouped_quantiles(diffs.filter(F.col(c).isNotNull()), ["metric", "model"], c, {c: 0.5})
         out = part if out is None else out.join(part, ["metric", "model"], "full")
     return out
 
 
-def stage_comparison(parts: DataFrame, bound: int | None = None) -> DataFrame:
+def stage_comparison(parts: DataFrame) -> DataFrame:
     """Does training-side degradation (S1) still cost less than test-side (S2) once the
     estimator changes from .632 to out-of-bag?
 
@@ -220,7 +220,7 @@ def stage_comparison(parts: DataFrame, bound: int | None = None) -> DataFrame:
     )
     groups = ["stage", "dimension", "model", "metric", "est"]
     long = loss.select("stage", "dimension", "model", "metric", F.explode(cells).alias("e")).select(*groups[:-1], "e.*")
-    medians = grouped_quantiles(long, groups, "loss", {"loss": 0.5}, bound)
+    medians = grouped_quantiles(long, groups, "loss", {"loss": 0.5})
     picks = [
         F.avg(F.when((F.col("stage") == s) & (F.col("est") == e), F.col("loss"))).alias(f"{s.lower()}_{e}")
         for s in ("S1", "S2")

@@ -203,8 +203,8 @@ def histogram(residual: DataFrame, bins: int = 60) -> DataFrame:
     )
 
 
-def plotting_positions(residual: DataFrame, bound: int | None = None, **size) -> DataFrame:
+def plotting_positions(residual: DataFrame, **size) -> DataFrame:
     """Quantile-plot coordinates: each distinct residual with its cumulative probability."""
     tied = residual.groupBy("resid").agg(F.count(F.lit(1)).alias("n"))
-    placed = prefix_sums(tied, [], "resid", ["n"], bound, **size)
+    placed = prefix_sums(tied, [], "resid", ["n"], **size)
     return placed.select("resid", "n", ((F.col("before_n") + F.col("n") / 2) / F.col("total_n")).alias("prob"))

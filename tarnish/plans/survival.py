@@ -29,7 +29,7 @@ def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, k: a & left[k].eqNullSafe(right[k]), keys, F.lit(True))
 
 
-def c_index(pred: DataFrame, groups: Sequence[str], bound: int | None = None, **size) -> DataFrame:
+def c_index(pred: DataFrame, groups: Sequence[str], **size) -> DataFrame:
     """Concordance index per group: comparable and concordant pairs, ties count half.
 
     A pair is comparable when the earlier subject has an event (an event also precedes a
@@ -42,7 +42,7 @@ def c_index(pred: DataFrame, groups: Sequence[str], bound: int | None = None, **
     seen = pred.filter(F.col("risk").isNotNull() & F.col("time").isNotNull())
     counted = seen.groupBy(*groups, "time", "event", "risk").agg(F.count(F.lit(1)).alias("__n"))
     times = counted.groupBy(*groups, "time").agg(F.lit(1).alias("one"))
-    slots = prefix_sums(times, groups, "time", ["one"], bound, **size)
+    slots = prefix_sums(times, groups, "time", ["one"], **size)
     last = slots.agg(F.max("before_one")).collect()[0][0]
     if last is None:
         last = 0
@@ -64,8 +64,7 @@ def c_index(pred: DataFrame, groups: Sequence[str], bound: int | None = None, **
             F.sum(F.when(F.col("late"), F.col("__n")).otherwise(0)).alias("late"),
         )
     )
-    spread = None if bound is None else bound * depth
-    placed = prefix_sums(sides, [*groups, "level", "block"], "risk", ["early", "late"], spread, **size)
+    placed = prefix_sums(sides, [*groups, "level", "block"], "risk", ["early", "late"], **size)
     early = F.col("early").cast("double")
     sums = placed.groupBy(*groups).agg(
         F.sum(early * (F.col("before_late") + F.col("late") / 2)).alias("concordant"),
@@ -85,7 +84,7 @@ def risk_centers(train: DataFrame, groups: Sequence[str]) -> DataFrame:
     return train.groupBy(*groups).agg(F.coalesce(F.avg(finite), F.lit(0.0)).alias("center"))
 
 
-def breslow(train: DataFrame, groups: Sequence[str], bound: int | None = None, **size) -> DataFrame:
+def breslow(train: DataFrame, groups: Sequence[str], **size) -> DataFrame:
     """Breslow baseline hazard per group: (groups, time, hazard, center) at event times.
 
     The risk set at t is the total risk minus the risk of those who left before t. A
@@ -102,12 +101,12 @@ def breslow(train: DataFrame, groups: Sequence[str], bound: int | None = None, *
         F.sum(F.col("event").cast("long")).alias("events"),
         F.max("center").alias("center"),
     )
-    at_risk = prefix_sums(by_time, groups, "time", ["risk"], bound, **size)
+    at_risk = prefix_sums(by_time, groups, "time", ["risk"], **size)
     left = F.col("total_risk") - F.col("before_risk")
     steps = at_risk.filter((F.col("events") > 0) & (left > 0)).select(
         *groups, "time", "center", (F.col("events") / left).alias("step")
     )
-    summed = prefix_sums(steps, groups, "time", ["step"], bound, **size)
+    summed = prefix_sums(steps, groups, "time", ["step"], **size)
     return summed.select(*groups, "time", (F.col("before_step") + F.col("step")).alias("hazard"), "center")
 
 
@@ -134,7 +133,7 @@ def hazard_at(baseline: DataFrame, groups: Sequence[str], points: Sequence[float
     return near.select(*groups, "point", value.alias("hazard"), "center")
 
 
-def censoring_law(reference: DataFrame, bound: int | None = None, **size) -> DataFrame:
+def censoring_law(reference: DataFrame, **size) -> DataFrame:
     """Kaplan-Meier estimate of staying uncensored at each time of the reference.
 
     At tied times events leave the risk set before censorings. ``log_factor`` and
@@ -143,7 +142,7 @@ def censoring_law(reference: DataFrame, bound: int | None = None, **size) -> Dat
     by_time = reference.groupBy("time").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("event")).alias("censored")
     )
-    placed = prefix_sums(by_time, [], "time", ["rows"], bound, **size)
+    placed = prefix_sums(by_time, [], "time", ["rows"], **size)
     events = F.col("rows") - F.col("censored")
     left = F.col("total_rows") - F.col("before_rows") - events
     factor = F.when(F.col("censored") > 0, 1 - F.col("censored") / left).otherwise(F.lit(1.0))
@@ -152,10 +151,10 @@ def censoring_law(reference: DataFrame, bound: int | None = None, **size) -> Dat
         F.when(factor > 0, F.ln(factor)).otherwise(F.lit(0.0)).alias("log_factor"),
         F.when(factor > 0, 0).otherwise(1).alias("zero"),
     )
-    return uncensored_at(steps, None, bound, **size)
+    return uncensored_at(steps, None, **size)
 
 
-def uncensored_at(steps: DataFrame, times: DataFrame | None, bound: int | None = None, **size) -> DataFrame:
+def uncensored_at(steps: DataFrame, times: DataFrame | None, **size) -> DataFrame:
     """The censoring law at extra times (as-of lookup): the steps are summed over the
     union of both time lists, extra times adding nothing of their own."""
     rows = steps.select("time", "log_factor", "zero")
@@ -163,7 +162,7 @@ def uncensored_at(steps: DataFrame, times: DataFrame | None, bound: int | None =
         extra = times.select("time", F.lit(0.0).alias("log_factor"), F.lit(0).alias("zero"))
         rows = rows.unionByName(extra)
     merged = rows.groupBy("time").agg(F.sum("log_factor").alias("log_factor"), F.sum("zero").alias("zero"))
-    placed = prefix_sums(merged, [], "time", ["log_factor", "zero"], bound, **size)
+    placed = prefix_sums(merged, [], "time", ["log_factor", "zero"], **size)
     alive = F.exp(F.col("before_log_factor") + F.col("log_factor"))
     gone = (F.col("before_zero") + F.col("zero")) > 0
     return placed.select("time", "log_factor", "zero", F.when(gone, F.lit(0.0)).otherwise(alive).alias("uncensored"))
@@ -189,7 +188,6 @@ def brier_scores(
     reference: DataFrame,
     baseline: DataFrame,
     points: Sequence[float],
-    bound: int | None = None,
 ) -> DataFrame:
     """Censoring-weighted Brier score per group and time point.
 
@@ -202,10 +200,10 @@ def brier_scores(
     kept = pred.filter(F.col("time") <= F.lit(window["hi"]))
     sizes = kept.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.count_if("event").alias("__e"))
     usable = sizes.filter((F.col("__n") >= MIN_SUBJECTS) & (F.col("__e") > 0)).select(*groups)
-    law = censoring_law(reference, bound)
+    law = censoring_law(reference)
     spark = pred.sparkSession
     wanted = kept.select("time").distinct().unionByName(spark.createDataFrame([(float(p),) for p in points], "time double"))
-    known = uncensored_at(law, wanted.distinct(), bound)
+    known = uncensored_at(law, wanted.distinct())
     # one row per (group, point): the hazards and the law at the points
     at_points = hazard_at(baseline, groups, points).join(
         known.select(F.col("time").alias("point"), F.col("uncensored").alias("g_point")), "point"

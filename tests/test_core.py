@@ -45,13 +45,12 @@ def test_erfc_matches_library(spark):
 
 
 @pytest.mark.parametrize("budget", [0, 1, 17, 999, 1000, 5000])
-@pytest.mark.parametrize("boundary_rows", [1, 200_000])
-def test_cut_takes_the_smallest_keys(spark, budget, boundary_rows):
+def test_cut_takes_the_smallest_keys(spark, budget):
     rng = random.Random(budget)
     # clustered keys force several zoom levels
     rows = [(0.25 + rng.random() * 1e-9, f"r{i}") for i in range(600)] + [(rng.random(), f"s{i}") for i in range(400)]
     df = spark.createDataFrame(rows, "key double, tie string").repartition(5)
-    cut = cut_smallest(df, budget, boundary_rows)
+    cut = cut_smallest(df, budget)
     kept = {r["tie"] for r in df.filter(cut.keeps(F.col("key"), F.col("tie"))).collect()}
     assert kept == {t for _, t in sorted(rows)[:budget]}
 
@@ -70,12 +69,10 @@ def test_cut_with_amounts_keeps_until_budget(spark):
     assert kept == n
 
 
-def test_equal_keys_are_split_by_tie_or_reported(spark):
+def test_equal_keys_are_split_by_tie(spark):
     df = spark.createDataFrame([(0.5, f"{i:03d}") for i in range(50)], "key double, tie string")
     cut = cut_smallest(df, 20)
     assert df.filter(cut.keeps(F.col("key"), F.col("tie"))).count() == 20
-    with pytest.raises(ValueError):
-        cut_smallest(df, 20, boundary_rows=10)
 
 
 def _skewed(spark):
@@ -87,7 +84,7 @@ def _skewed(spark):
 
 def test_bucketed_prefix_sums_equal_direct_ones(spark):
     df = _skewed(spark).groupBy("g", "v").agg(F.sum("n").alias("n"))
-    direct = ordering.prefix_sums(df, ["g"], "v", ["n"], bound=1)
+    direct = ordering.prefix_sums(df, ["g"], "v", ["n"])
     split = ordering.prefix_sums(df, ["g"], "v", ["n"], rows_per_bucket=40)
     assert sorted(direct.collect()) == sorted(split.select(*direct.columns).collect())
     whole = ordering.prefix_sums(df.groupBy("v").agg(F.sum("n").alias("n")), [], "v", ["n"], rows_per_bucket=40)
@@ -98,7 +95,7 @@ def test_bucketed_prefix_sums_equal_direct_ones(spark):
 def test_bucketed_numbering_is_dense(spark):
     df = spark.range(500).select(F.when(F.col("id") % 3 == 0, "hot").otherwise("x").alias("g"), F.col("id").cast("string").alias("t"))
     df = df.withColumn("b", wide_bits(digest(1, F.col("t"))))
-    direct = ordering.number_rows(df, ["g"], "b", "t", bound=500)
+    direct = ordering.number_rows(df, ["g"], "b", "t")
     split = ordering.number_rows(df, ["g"], "b", "t", rows_per_bucket=16)
     assert sorted(direct.collect()) == sorted(split.select(*direct.columns).collect())
     assert {r["ordinal"] for r in split.filter("g = 'hot'").collect()} == set(range(167))
@@ -107,7 +104,7 @@ def test_bucketed_numbering_is_dense(spark):
 def test_grouped_quantiles_equal_percentile(spark):
     df = _skewed(spark).unionByName(spark.createDataFrame([("none", None, 1)], "g string, v double, n int"))
     probs = {"a": 0.025, "b": 0.5, "c": 0.975}
-    direct = {r["g"]: r for r in ordering.grouped_quantiles(df, ["g"], "v", probs, bound=1).collect()}
+    direct = {r["g"]: r for r in ordering.grouped_quantiles(df, ["g"], "v", probs).collect()}
     split = {r["g"]: r for r in ordering.grouped_quantiles(df, ["g"], "v", probs, rows_per_bucket=25).collect()}
     assert direct.keys() == split.keys()
     for g, row in direct.items():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnish.functions.hashing import HASH_SETTING
 from tarnish.operators import checks, composite, degrade
 from tarnish.operators.scenario import degrade_splits
-from tarnish.spec import ICU_COHORT, ICU_FLAGS, ICU_NUMERIC, INVALID_CATEGORY, INVALID_FLAG, INVALID_TEXT
+from tarnish.spec import ICU_COHORT, ICU_FLAGS, ICU_NUMERIC, INVALID_CATEGORY, INVALID_FLAG, INVALID_TEXT, TableSpec
 
 IDS = list(ICU_COHORT.ids)
 N, P = 240, 19
@@ -197,3 +197,10 @@ def test_scenarios(icu):
         split_of = {f"{r['subject_id']}-{r['hadm_id']}-{r['stay_id']}": r["split"] for r in df.collect()}
         assert {split_of[r["row_id"]] for r in out.touched.collect()} == sides
         assert out.df.count() == N
+
+
+def test_copies_keep_the_rows_of_repeated_ids(spark):
+    spec = TableSpec(ids=["id"], numeric=["a", "b"], categorical=[])
+    df = spark.createDataFrame([(i % 200, float(i % 7), float(i % 11)) for i in range(400)], "id long, a double, b double")
+    out = degrade.uniqueness(df, spec, 0.2, 5)
+    assert out.df.count() == 400 and out.touched.count() > 0

@@ -19,7 +19,7 @@ def predictions(spark, seed=1, n=120):
 @pytest.mark.parametrize("size", [{}, {"rows_per_bucket": 3}])
 def test_ranking_metrics(spark, size):
     rows, df = predictions(spark)
-    out = {r["g"]: r for r in metrics.ranking_metrics(df, ["g"], None if size else 1, **size).collect()}
+    out = {r["g"]: r for r in metrics.ranking_metrics(df, ["g"], **size).collect()}
     pos = [s for g, y, s in rows if g == "g" and y == 1]
     neg = [s for g, y, s in rows if g == "g" and y == 0]
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
@@ -79,7 +79,7 @@ def brute_c(rows):
 def test_c_index(spark, size):
     rows = subjects(3, 150) + [("none", 5.0, False, 0.1), ("none", 6.0, False, 0.2)]
     df = spark.createDataFrame(rows, "g string, time double, event boolean, risk double")
-    out = {r["g"]: r for r in survival.c_index(df, ["g"], None if size else 1, **size).collect()}
+    out = {r["g"]: r for r in survival.c_index(df, ["g"], **size).collect()}
     for g in ("a", "b"):
         num, den = brute_c([r for r in rows if r[0] == g])
         assert out[g]["concordant"] == pytest.approx(num) and out[g]["comparable"] == den
@@ -107,9 +107,9 @@ def test_censoring_law(spark, size):
     rows = subjects(5, 80, ("a",))
     df = spark.createDataFrame(rows, "g string, time double, event boolean, risk double")
     law = brute_km(rows)
-    got = {r["time"]: r["uncensored"] for r in survival.censoring_law(df, None if size else 1, **size).collect()}
+    got = {r["time"]: r["uncensored"] for r in survival.censoring_law(df, **size).collect()}
     assert got.keys() == law.keys() and all(got[t] == pytest.approx(law[t], abs=1e-12) for t in law)
-    extra = survival.uncensored_at(survival.censoring_law(df, 1), spark.createDataFrame([(0.5,), (7.5,), (99.0,)], "time double"), 1)
+    extra = survival.uncensored_at(survival.censoring_law(df), spark.createDataFrame([(0.5,), (7.5,), (99.0,)], "time double"))
     more = {r["time"]: r["uncensored"] for r in extra.collect()}
     assert all(more[t] == pytest.approx(at(law, t), abs=1e-12) for t in (0.5, 7.5, 99.0))
 
@@ -124,7 +124,7 @@ def test_breslow_hazard_and_brier(spark):
     for t in sorted({r[1] for r in mine if r[2]}):
         total += sum(r[1] == t and r[2] for r in mine) / sum(x for r, x in zip(mine, risk) if r[1] >= t)
         hazard[t] = total
-    base = survival.breslow(df, ["g"], bound=1)
+    base = survival.breslow(df, ["g"])
     got = {r["time"]: r["hazard"] for r in base.collect()}
     assert {r["g"] for r in base.collect()} == {"a"}
     assert got.keys() == hazard.keys() and all(got[t] == pytest.approx(hazard[t]) for t in hazard)
@@ -142,7 +142,7 @@ def test_breslow_hazard_and_brier(spark):
     near = {r["point"]: r["hazard"] for r in survival.hazard_at(base, ["g"], points).collect()}
     assert all(near[p] == pytest.approx(h0(p)) for p in points)
 
-    scores = survival.brier_scores(df, ["g"], df.filter("g = 'a'"), base, [4.0, 7.0, 400.0], bound=1).collect()
+    scores = survival.brier_scores(df, ["g"], df.filter("g = 'a'"), base, [4.0, 7.0, 400.0]).collect()
     assert {r["point"] for r in scores} == {4.0, 7.0}
     law = brute_km(mine)
     for r in scores:
@@ -158,7 +158,7 @@ def test_breslow_hazard_and_brier(spark):
         assert r["brier"] == pytest.approx(sum(terms) / len(terms))
     grid = survival.integration_grid(df.filter("g = 'a'"), 10)
     assert len(grid) == 10 and grid == sorted(grid)
-    curve = survival.brier_scores(df, ["g"], df.filter("g = 'a'"), base, grid, bound=1)
+    curve = survival.brier_scores(df, ["g"], df.filter("g = 'a'"), base, grid)
     ibs = survival.integrated(curve, ["g"]).collect()[0]["ibs"]
     assert 0 < ibs < 1
 

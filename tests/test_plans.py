@@ -54,7 +54,7 @@ def test_signed_rank(spark, size):
         "zeros": [0, 0, 0],
         "large": [rng.gauss(0.3, 1) for _ in range(60)],
     }
-    out = {r["g"]: r for r in contrasts.signed_rank(diffs_df(spark, groups), ["g"], None if size else 1, **size).collect()}
+    out = {r["g"]: r for r in contrasts.signed_rank(diffs_df(spark, groups), ["g"], **size).collect()}
     assert "zeros" not in out
     for g in ("exact", "ties", "large"):
         assert out[g]["wilcoxon_stat"] == pytest.approx(brute_signed_rank(groups[g]))
@@ -90,12 +90,12 @@ def shifted(spark, shift, models=("dt", "lin"), n=30, skip=()):
 def test_contrasts_verdicts_and_families(spark):
     shift = dict(zip(DIMS, [0.30, 0.1, 0.1, 0.0, 0.1]))
     loss = shifted(spark, shift)
-    con = contrasts.pairwise_contrasts(loss, DIMS, ["dt", "lin"], bound=1)
+    con = contrasts.pairwise_contrasts(loss, DIMS, ["dt", "lin"])
     rows = con.collect()
     assert len(rows) == 20 and all(r["n_pairs"] == 30 for r in rows)
     first = next(r for r in rows if (r["model"], r["dim_A"], r["dim_B"]) == ("dt", "completeness", "precision"))
     assert first["separable"] and first["share"] == 1.0 and first["wilcoxon_stat"] == 0
-    verdict = contrasts.verdicts(con, contrasts.gap_to_others(loss, DIMS, bound=1))
+    verdict = contrasts.verdicts(con, contrasts.gap_to_others(loss, DIMS))
     named = {(r["dimension"], r["kind"]): r["family"] for r in contrasts.families(verdict, {"dt": "trees", "lin": "linear"}).collect()}
     assert named == {("completeness", "most"): "all", ("precision", "least"): "all"}
     alone = contrasts.families(verdict.filter("model = 'dt'"), {"dt": "trees", "lin": "linear"}).collect()
@@ -105,7 +105,7 @@ def test_contrasts_verdicts_and_families(spark):
 def test_missing_dimension_gives_null_pairs_and_drops_the_model_from_leaders(spark):
     shift = dict(zip(DIMS, [0.1, 0.0, 0.4, 0.1, 0.1]))
     loss = shifted(spark, shift, skip={("lin", "coherence")})
-    con = contrasts.pairwise_contrasts(loss, DIMS, ["dt", "lin"], bound=1)
+    con = contrasts.pairwise_contrasts(loss, DIMS, ["dt", "lin"])
     gone = [r for r in con.collect() if r["n_pairs"] == 0]
     assert len(gone) == 4 and all(r["p_raw"] is None and r["p_holm"] is None and not r["separable"] for r in gone)
     present = contrasts.complete_models(loss, DIMS, ["metric"])
@@ -116,13 +116,13 @@ def test_missing_dimension_gives_null_pairs_and_drops_the_model_from_leaders(spa
 
 def test_leader_ties_follow_the_order_of_dimensions(spark):
     flat = shifted(spark, dict.fromkeys(DIMS, 0.0), models=("dt",))
-    con = contrasts.pairwise_contrasts(flat, DIMS, ["dt"], bound=1).withColumn("separable", F.lit(False))
+    con = contrasts.pairwise_contrasts(flat, DIMS, ["dt"]).withColumn("separable", F.lit(False))
     led = contrasts.leaders(con, contrasts.complete_models(flat, DIMS, ["metric"]), DIMS, ["metric"])
     assert led.collect()[0]["leader"] == "completeness"
 
 
 def test_single_pair_gives_nulls(spark):
-    con = contrasts.pairwise_contrasts(shifted(spark, dict.fromkeys(DIMS, 0.0), n=1), DIMS, ["dt"], bound=1)
+    con = contrasts.pairwise_contrasts(shifted(spark, dict.fromkeys(DIMS, 0.0), n=1), DIMS, ["dt"])
     assert all(r["n_pairs"] == 1 and r["median_diff"] is None and r["p_raw"] is None for r in con.collect())
 
 
@@ -180,7 +180,7 @@ def test_mixed_model_on_an_unbalanced_table(spark):
     res = mixed_model.residuals(df, fit)
     assert res.agg(F.sum("resid")).collect()[0][0] == pytest.approx(0, abs=1e-6)
     assert mixed_model.histogram(res, 10).agg(F.sum("n")).collect()[0][0] == len(rows)
-    probs = mixed_model.plotting_positions(res, bound=1).agg(F.min("prob"), F.max("prob")).collect()[0]
+    probs = mixed_model.plotting_positions(res).agg(F.min("prob"), F.max("prob")).collect()[0]
     assert 0 < probs[0] < probs[1] < 1
 
 

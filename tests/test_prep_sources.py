@@ -17,7 +17,7 @@ def test_coercion_and_encoding(spark, icu):
     assert all(dict(df.dtypes)[c] == "double" for c in ICU_NUMERIC)
     full = prep.sentinel_encode(df, ICU_SENTINELS)
     assert full.filter(prep.any_null(ICU_NUMERIC)).count() == 0
-    hot = prep.one_hot(prep.fill_category(broken, ["gender"]), "gender", prep.fitted_categories(icu, "gender"))
+    hot = prep.one_hot(prep.fill_category(broken, ["gender"]), "gender", [r["v"] for r in prep.fitted_categories(icu, "gender").orderBy("v").collect()])
     assert hot.filter("gender in ('X', 'U', '?', 'missing')").agg(F.max("gender_M"), F.max("gender_F")).collect()[0] == (0, 0)
     tokens = spark.createDataFrame([("abc",), ("1O.O",), ("--",), ("2",), (None,), ("nan",)], "c string")
     assert [r[0] for r in prep.coerce_numeric(tokens, ["c"]).collect()] == [None, None, None, 2.0, None, None]
@@ -47,7 +47,7 @@ def test_scaling(spark):
 def test_median_indicator(spark):
     rows = [(0, 2, 1.0, None, 1.0), (0, 1, None, None, 2.0), (0, 1, 9.0, None, 3.0), (0, 0, 4.0, None, 4.0)]
     df = spark.createDataFrame(rows, "replicate int, draws int, a double, b double, c double")
-    out = prep.median_indicator(df, ["a", "b", "c"], bound=1).collect()
+    out = prep.median_indicator(df, ["a", "b", "c"]).collect()
     filled = next(r for r in out if r["a_missing"] == 1)
     assert filled["a"] == 1.0 and filled["b"] == 0.0 and all(r["c_missing"] is None for r in out)
 
@@ -78,9 +78,9 @@ def test_sample_and_hot_deck(icu):
 
 def test_change_rate_and_expectations(spark, icu):
     out = degrade.validity(icu, ICU_COHORT, 0.2, 3)
-    rate = checks.change_rate(icu, out.df, IDS, ICU_COHORT.predictors).collect()[0]
+    rate = checks.change_rate(checks.matched(icu, out.df, IDS, ICU_COHORT.predictors), ICU_COHORT.predictors).collect()[0]
     assert rate["n_changed"] == out.touched.count()
-    none = checks.change_rate(icu, icu, IDS, ICU_NUMERIC)
+    none = checks.change_rate(checks.matched(icu, icu, IDS, ICU_NUMERIC), ICU_NUMERIC)
     assert none.collect()[0]["rate"] == 0.0
     assert not checks.rate_check(none, 0.2, False).collect()[0]["ok"] and checks.rate_check(none, 0.2, True).collect()[0]["ok"]
     claims = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "claim_id string, expected double")
