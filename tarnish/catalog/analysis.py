@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnish.catalog.data import round_col, rounded
-from tarnish.catalog.grid import DIMS, DIRECTIONS, LEVELS, LOSS_SQL, MODELS, ROLES, grid, grid_sql
+from tarnish.catalog.grid import DIMS, DIRECTIONS, LEVELS, LOSS_SQL, MODELS, ROLES, SHIFTED_LOSS_SQL, grid, grid_sql
 from tarnish.functions.tails import STEP, TERMS
 from tarnish.plans import contrasts as C
 from tarnish.plans import losses as L
+from tarnish.session import staged
 
 
-def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.paired_loss(grid(spark, sf_dir), DIRECTIONS, digits=6)
+def losses(spark: SparkSession, sf_dir: str, shifted: bool = False) -> DataFrame:
+    return L.paired_loss(grid(spark, sf_dir, shifted=shifted), DIRECTIONS, digits=6)
+
+
+def _shifted_at_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses at the highest level of the grid in which dimensions differ, computed once."""
+    return staged(losses(spark, sf_dir, shifted=True).filter(F.col("level") == 3))
 
 
 def _contrasts(spark: SparkSession, sf_dir: str, level: int = 3) -> DataFrame:
@@ -24,9 +30,8 @@ def _contrasts(spark: SparkSession, sf_dir: str, level: int = 3) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = losses(spark, sf_dir).filter(F.col("level") == 3)
-    gaps = C.gap_to_others(at, DIMS)
-    return C.verdicts(_contrasts(spark, sf_dir), gaps)
+    at = _shifted_at_3(spark, sf_dir)
+    return C.verdicts(C.pairwise_contrasts(at, DIMS, MODELS), C.gap_to_others(at, DIMS))
 
 
 def paired_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +86,7 @@ def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_to_others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = losses(spark, sf_dir).filter(F.col("level") == 3)
-    df = C.gap_to_others(at, DIMS)
+    df = C.gap_to_others(_shifted_at_3(spark, sf_dir), DIMS)
     return df.withColumn("gap", round_col(F.col("gap"), 9))
 
 
@@ -114,7 +118,7 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leader_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading dimension at each level, and whether it is the same at all of them."""
-    loss = losses(spark, sf_dir)
+    loss = staged(losses(spark, sf_dir, shifted=True))
     keys = ["metric", "level"]
     df = C.pairwise_contrasts(loss, DIMS, MODELS, keys)
     led = C.leaders(df, C.complete_models(loss, DIMS, keys), DIMS, keys)
@@ -123,8 +127,8 @@ def leader_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_metric_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts from the metric itself at the highest level, without a clean baseline."""
-    at = L.raw_loss(grid(spark, sf_dir).filter(F.col("level") == 3), DIRECTIONS)
-    at = at.withColumn("loss", F.round("loss", 6))
+    at = L.raw_loss(grid(spark, sf_dir, shifted=True).filter(F.col("level") == 3), DIRECTIONS)
+    at = staged(at.withColumn("loss", F.round("loss", 6)))
     df = C.verdicts(C.pairwise_contrasts(at, DIMS, MODELS), C.gap_to_others(at, DIMS))
     return df.withColumn("gap", round_col(F.col("gap"), 9))
 
@@ -140,6 +144,15 @@ def effect_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("metric", "dimension", "n_pairs", *[round_col(F.col(c), 9).alias(c) for c in ("median", "low", "high")])
 
 
+def effect_size_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from results in which every row came twice, the second time with other values."""
+    once = grid(spark, sf_dir).withColumn("run", F.lit(1))
+    again = once.withColumns({"run": F.lit(2), "price": F.col("price") * 2, "qty": F.col("qty") + 5})
+    first = L.first_pairs(once.unionByName(again), [], "run").drop("run")
+    df = L.effect_size(L.paired_loss(first, DIRECTIONS, digits=6), ["metric", "dimension"])
+    return df.select("metric", "dimension", "n_pairs", *[round_col(F.col(c), 9).alias(c) for c in ("median", "low", "high")])
+
+
 def relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = L.relative_change(grid(spark, sf_dir), DIRECTIONS)
     return df.select("model", "dimension", "metric", *[round_col(F.col(c), 5).alias(c) for c in ("mean_change", "loss_pct")])
@@ -235,7 +248,8 @@ verdict AS (
   FROM scored s LEFT JOIN gaps USING (metric, model, dimension))"""
 
 
-VERDICT_SQL = f"{AT3_SQL},\n{verdict_sql('at3')}"
+SHIFTED = f"WITH {SIGNED_SUMS},\n{SHIFTED_LOSS_SQL},\n"
+VERDICT_SQL = f"{SHIFTED}at3 AS (SELECT * FROM loss WHERE level = 3),\n{contrast_sql('at3', ['metric'])},\n{verdict_sql('at3')}"
 FAMILY_CTES = """kinds AS (
   SELECT metric, dimension, model, 'most' AS kind, is_most AS yes FROM verdict
   UNION ALL SELECT metric, dimension, model, 'least', is_least FROM verdict),
@@ -263,6 +277,7 @@ QUERIES = {
     "raw_metric_verdicts": raw_metric_verdicts,
     "metric_band": metric_band,
     "effect_size": effect_size,
+    "effect_size_first": effect_size_first,
     "relative_change": relative_change,
 }
 
@@ -289,7 +304,7 @@ SELECT model, dimension, level, round(p_raw, 9) AS p_raw,
     "verdicts": f"{VERDICT_SQL} SELECT metric, model, dimension, wins, losses, {rounded('gap', 9)} AS gap, is_most, is_least FROM verdict",
     "verdict_families": f"{VERDICT_SQL},\n{FAMILY_CTES} SELECT * FROM named",
     "verdict_counts": f"{VERDICT_SQL},\n{FAMILY_CTES} SELECT kind, dimension, count(*) FILTER (family <> 'none') AS n_named FROM named GROUP BY kind, dimension",
-    "leader_by_level": f"""{RECURSIVE}{contrast_sql('loss', ['metric', 'level'])},
+    "leader_by_level": f"""{SHIFTED}{contrast_sql('loss', ['metric', 'level'])},
 present AS (SELECT metric, level, model FROM loss GROUP BY metric, level, model HAVING count(DISTINCT dimension) = 5),
 sides AS (
   SELECT metric, level, CASE WHEN median_diff > 0 THEN dim_A ELSE dim_B END AS dimension, separable::INT AS win FROM sep JOIN present USING (metric, level, model)
@@ -298,7 +313,7 @@ wins AS (SELECT metric, level, dimension, sum(win) AS wins FROM sides GROUP BY m
 led AS (SELECT metric, level, first(dimension ORDER BY wins DESC, dimension) AS leader, sum(wins)::BIGINT AS n_separable FROM wins GROUP BY metric, level),
 steady AS (SELECT metric, count(DISTINCT leader) = 1 AS stable FROM led GROUP BY metric)
 SELECT metric, level, leader, n_separable, stable FROM led JOIN steady USING (metric)""",
-    "raw_metric_verdicts": f"""WITH {SIGNED_SUMS},\n{grid_sql()},
+    "raw_metric_verdicts": f"""WITH {SIGNED_SUMS},\n{grid_sql(shifted=True)},
 loss AS (SELECT 'price' AS metric, dimension, model, level, replicate, round(-price, 6) AS loss FROM grid WHERE level = 3
   UNION ALL SELECT 'qty', dimension, model, level, replicate, round(qty, 6) FROM grid WHERE level = 3),
 {contrast_sql('loss', ['metric'])},
@@ -316,3 +331,4 @@ wide AS (SELECT model, dimension, avg(price) FILTER (level = 0) AS p0, avg(price
 SELECT model, dimension, 'price' AS metric, {rounded('p3 - p0', 5)} AS mean_change, {rounded('-(p3 - p0) / abs(p0) * 100', 5)} AS loss_pct FROM wide
 UNION ALL SELECT model, dimension, 'qty', {rounded('q3 - q0', 5)}, {rounded('(q3 - q0) / abs(q0) * 100', 5)} FROM wide""",
 }
+ORACLES["effect_size_first"] = ORACLES["effect_size"]
