@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tarnish.catalog.registry import QUERIES  # noqa: E402
-from tarnish.session import local_session  # noqa: E402
+from tarnish.session import drop_staged, local_session  # noqa: E402
 
 HEADLINE = [
     "paired_loss",
@@ -50,6 +50,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        drop_staged(spark)
         print(f"{name}: {times[name]}", file=sys.stderr)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))

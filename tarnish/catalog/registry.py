@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnish.catalog import analysis, degradation, preparation, quality, scoring
+from tarnish.catalog import analysis, degradation, files, preparation, quality, scoring
 
-MODULES = [degradation, analysis, scoring, preparation, quality]
+MODULES = [degradation, analysis, scoring, preparation, quality, files]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnish.functions.hashing import digest, unit, wide_bits
 from tarnish.operators.ordering import ROWS_PER_BUCKET, number_rows
 from tarnish.operators.selection import cut_smallest
+from tarnish.session import staged
 
 # Seed bases of the bootstrap, the two imputations and the two degradations.
 SEED_BOOTSTRAP = 10_000
@@ -112,7 +113,7 @@ def hot_deck(
 
     Rows without a group and cells whose pool is empty stay null.
     """
-    pools = donor_pools(df, ids, group, columns, seed) if pools is None else pools
+    pools = staged(donor_pools(df, ids, group, columns, seed)) if pools is None else pools
     sizes = pools.filter(F.col("ordinal") == 0).select("group", "column", "size")
     holes = _cells(df, ids, group, columns).filter(F.col("value").isNull()).drop("value")
     picks = holes.join(sizes, (holes["__group"] == sizes["group"]) & (holes["column"] == sizes["column"])).select(

@@ -40,17 +40,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_STAGED: list[str] = []
+
+
+def staging_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, remembered for :func:`drop_staged`."""
+    _STAGED.append(f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Used where a costly table is scanned several times: it cuts the lineage, survives
     lost executors, and later scans read only the columns they need.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables staged so far; call it when their results have been written or read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    while _STAGED:
+        path = hadoop(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan that has fewer partitions than there are cores.
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +27,16 @@ def result_schema(outcome: str) -> T.StructType:
     return T.StructType.fromDDL(RESULT_SCHEMAS[outcome])
 
 
+def _header(line: str) -> tuple[list[str], str]:
+    line = line.lstrip("﻿")
+    sep = max(SEPARATORS, key=line.count)
+    return [c.strip().strip('"') for c in line.split(sep)], sep
+
+
 def header_of(spark: SparkSession, path: str) -> tuple[list[str], str]:
     """Column names and separator, from the first line of a file."""
     first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return [], SEPARATORS[0]
-    line = first[0][0].lstrip("﻿")
-    sep = max(SEPARATORS, key=line.count)
-    return [c.strip().strip('"') for c in line.split(sep)], sep
+    return _header(first[0][0]) if first else ([], SEPARATORS[0])
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -46,7 +48,13 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     """
     rows = _scan(spark, [path] if isinstance(path, str) else list(path)).drop("__path")
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
-    return rows.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in rows.columns])
+    return rows.select(*[_read_as(c, types[c]) if c in types else F.col(c) for c in rows.columns])
+
+
+def _read_as(c: str, kind: T.DataType) -> Column:
+    """A text column as ``kind``; what does not parse, and NaN in any spelling, is null."""
+    value = F.col(c).try_cast(kind)
+    return (F.when(~F.isnan(value), value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value).alias(c)
 
 
 def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -64,7 +72,9 @@ def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
         .option("columnPruning", "false")
         .csv(paths)
     )
-    fields = F.size(F.split(F.col("_corrupt_record"), "\\Q" + sep + "\\E"))
+    # separators inside quotes separate nothing
+    bare = F.regexp_replace("_corrupt_record", '"(?:[^"]|"")*"', "")
+    fields = F.size(F.split(bare, "\\Q" + sep + "\\E"))
     whole = rows.select("*", F.col("_metadata.file_path").alias("__path"))
     # the last term never decides; it keeps a data column in scans that only count rows,
     # which Spark refuses to run on the corrupt-record column alone
@@ -73,12 +83,11 @@ def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def cached(spark: SparkSession, source: DataFrame, cache: str) -> DataFrame:
-    """The Parquet copy of a scan, written on first use."""
-    try:
-        return spark.read.parquet(cache)
-    except AnalysisException:
-        source.write.mode("ignore").parquet(cache)
-        return spark.read.parquet(cache)
+    """The Parquet copy of a scan, written on first use, and again if it was never finished."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{cache.rstrip('/')}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        source.write.mode("overwrite").parquet(cache)
+    return spark.read.parquet(cache)
 
 
 def level_of(columns: Sequence[str], names: Sequence[str] = LEVEL_NAMES) -> Column:
@@ -101,12 +110,13 @@ def as_grid(results: DataFrame) -> DataFrame:
     return with_level(results).withColumnRenamed("bootstrap", "replicate")
 
 
-def _files(spark: SparkSession, root: str) -> list[str]:
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root)
-    )
-    # only paths are selected, so file contents are not read
-    return sorted(r["path"] for r in listing.select("path").collect())
+def _files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """Every csv file below ``root`` with its first line, in one distributed pass."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root)
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"), at)
+    first = placed.groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    return sorted(tuple(r) for r in first.collect())
 
 
 def collect_tree(spark: SparkSession, root: str, outcome: str, level: str = "p") -> DataFrame:
@@ -116,8 +126,8 @@ def collect_tree(spark: SparkSession, root: str, outcome: str, level: str = "p")
     grouped by header, each group is one scan; the level column gets one name.
     """
     groups: dict[tuple, list[str]] = {}
-    for path in _files(spark, root):
-        names, sep = header_of(spark, path)
+    for path, line in _files(spark, root):
+        names, sep = _header(line)
         groups.setdefault((tuple(names), sep), []).append(path)
     whole = None
     for paths in groups.values():
@@ -135,7 +145,7 @@ def collect_tree(spark: SparkSession, root: str, outcome: str, level: str = "p")
 def typed(results: DataFrame, outcome: str) -> DataFrame:
     """Cast the known result columns; whatever else is there stays as it is."""
     types = {f.name: f.dataType for f in result_schema(outcome).fields}
-    return results.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in results.columns])
+    return results.select(*[_read_as(c, types[c]) if c in types else F.col(c) for c in results.columns])
 
 
 def write_consolidated(results: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
@@ -149,6 +159,13 @@ def append_results(results: DataFrame, path: str, by: Sequence[str] = ("scenario
     results.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def append_missing(results: DataFrame, path: str, keys: Sequence[str], by: Sequence[str] = ("scenario", "N", "p")) -> None:
+    """Append only rows whose keys the table does not have yet, so that a retried job adds nothing."""
+    there = results.sparkSession.read.schema(results.schema).parquet(path).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    append_results(results.join(there, same, "left_anti"), path, by)
+
+
 def select_results(
     spark: SparkSession, path: str, where: Mapping[str, object], schema: T.StructType | None = None
 ) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tarnish.session import local_session  # noqa: E402
+from tarnish.session import drop_staged, local_session  # noqa: E402
 from tarnish.spec import ICU_FLAGS, ICU_NUMERIC  # noqa: E402
 
 
@@ -17,6 +17,7 @@ def spark():
     session = local_session(4, "tarnish-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
 
 
