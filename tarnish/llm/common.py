@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnish.session import shared_folder, staged
+from tarnish.session import staged, staging_path
 
 __all__ = ["ascii_lower", "packed_key", "remainder", "small_batches", "staged", "staged_by", "text_of"]
 
@@ -52,6 +52,5 @@ def staged_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     name = f"staged_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-    path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    df.write.bucketBy(buckets, column).option("path", staging_path(spark)).saveAsTable(name)
     return spark.table(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnish.llm.bpe import decode, encode
+from tarnish.llm.bpe import encode
 from tarnish.llm.chat import format_chat, read_back
 from tarnish.llm.decontaminate import find_leaks
 from tarnish.llm.exact_dedup import exact_dedup
@@ -54,7 +54,7 @@ def tokens(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return decode(encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    return encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=True)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
