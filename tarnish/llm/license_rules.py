@@ -35,7 +35,7 @@ isc|1|permission to use copy modify|permission to use copy modify and or distrib
 isc|1|spdx|spdx license identifier isc
 isc|2|isc license|isc license
 isc|2|opensource org|opensource org licenses? isc
-apache-2|1|apache license|apache license version 2(?: 0)?
+apache-2|1|apache license|(?:licen[cs]ed under (?:the )?)?apache license version 2(?: 0)?
 apache-2|1|apache license|apache license 2 0
 apache-2|1|apache|apache 2 0 license
 apache-2|1|spdx|spdx license identifier apache 2 0
@@ -53,19 +53,19 @@ gpl-3-or-later|1|spdx|spdx license identifier gpl 3 0 (?:or later|plus)
 gpl-3-or-later|1|general public license|gnu general public license(?: as published by the free software foundation)?(?: either)? version 3(?: of the license)? or (?:at your option )?any later version
 gpl-3-or-later|1|gpl|gplv?3(?: 0)? or later
 gpl-3|1|spdx|spdx license identifier gpl 3 0(?: only)?
-gpl-3|1|general public license|general public license version 3
-gpl-3|1|general public license|general public license v3(?: 0)?
+gpl-3|1|general public license|(?:gnu )?general public license version 3
+gpl-3|1|general public license|(?:gnu )?general public license v3(?: 0)?
 gpl-3|1|gnu org|gnu org licenses gpl 3 0(?: html| txt)?
 gpl-3|1|gpl|(?:gnu )?gpl ?v? ?3(?: 0)?
 gpl-2-or-later|1|spdx|spdx license identifier gpl 2 0 (?:or later|plus)
 gpl-2-or-later|1|general public license|gnu general public license(?: as published by the free software foundation)?(?: either)? version 2(?: of the license)? or (?:at your option )?any later version
 gpl-2-or-later|1|gpl|gplv?2(?: 0)? or later
 gpl-2|1|spdx|spdx license identifier gpl 2 0(?: only)?
-gpl-2|1|general public license|general public license version 2
-gpl-2|1|general public license|general public license v2(?: 0)?
+gpl-2|1|general public license|(?:gnu )?general public license version 2
+gpl-2|1|general public license|(?:gnu )?general public license v2(?: 0)?
 gpl-2|1|gnu org|gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?
 gpl-2|1|gpl|(?:gnu )?gpl ?v? ?2(?: 0)?
-gpl-1|1|general public license|general public license version 1
+gpl-1|1|general public license|(?:gnu )?general public license version 1
 gpl-1|1|spdx|spdx license identifier gpl 1 0(?: only| or later)?
 gpl-classpath|1|classpath exception|classpath exception(?: 2 0)?
 gpl-gcc-exception|1|gcc runtime library exception|gcc runtime library exception
@@ -76,10 +76,10 @@ gpl|3|gpl|gpl
 gpl|3|gpled|gpled
 gpl|3|gnu org|gnu org licenses(?: gpl)?
 lgpl-3|1|spdx|spdx license identifier lgpl 3 0(?: only| or later| plus)?
-lgpl-3|1|lesser general public license|lesser general public license(?: as published by the free software foundation)?(?: either)? version 3
+lgpl-3|1|lesser general public license|(?:gnu )?lesser general public license(?: as published by the free software foundation)?(?: either)? version 3
 lgpl-3|1|lgpl|lgpl ?v? ?3(?: 0)?
 lgpl-2-1|1|spdx|spdx license identifier lgpl 2 1(?: only| or later| plus)?
-lgpl-2-1|1|lesser general public license|lesser general public license(?: as published by the free software foundation)?(?: either)? version 2 1
+lgpl-2-1|1|lesser general public license|(?:gnu )?lesser general public license(?: as published by the free software foundation)?(?: either)? version 2 1
 lgpl-2-1|1|lgpl|lgpl ?v? ?2 1
 lgpl-2|1|library general public license|library general public license(?: version 2)?
 lgpl-2|1|spdx|spdx license identifier lgpl 2 0(?: only| or later| plus)?
@@ -87,7 +87,7 @@ lgpl|2|lesser general public license|(?:gnu )?lesser general public license
 lgpl|2|lgpl|(?:gnu )?lgpl
 lgpl|2|gnu org|gnu org licenses lgpl(?: html| txt)?
 agpl-3|1|spdx|spdx license identifier agpl 3 0(?: only| or later| plus)?
-agpl-3|1|affero general public license|affero general public license(?: as published by the free software foundation)?(?: either)? version 3
+agpl-3|1|affero general public license|(?:gnu )?affero general public license(?: as published by the free software foundation)?(?: either)? version 3
 agpl-3|1|agpl|agpl ?v? ?3(?: 0)?
 agpl|2|affero general public license|(?:gnu )?affero general public license
 agpl|2|agpl|(?:gnu )?agpl
@@ -149,7 +149,8 @@ boost-1|1|spdx|spdx license identifier bsl 1 0
 boost-1|1|boost org|boost org license 1 0 txt
 zlib|1|spdx|spdx license identifier zlib
 zlib|1|zlib|zlib (?:libpng )?licen[cs]e
-libpng|1|libpng licen|(?:png reference library|libpng) licen[cs]e(?: version 2)?
+libpng|1|libpng licen|libpng licen[cs]e(?: version 2)?
+libpng|1|png reference library|png reference library licen[cs]e(?: version 2)?
 unlicense|1|spdx|spdx license identifier unlicense
 unlicense|1|unencumbered software released into the public domain|this is free and unencumbered software released into the public domain
 unlicense|1|unlicense|(?:the unlicense|unlicense org)
@@ -167,7 +168,7 @@ openldap|1|openldap public license|openldap public license(?: version 2 8)?
 postgresql|1|postgresql license|postgresql license
 postgresql|1|spdx|spdx license identifier postgresql
 curl|1|spdx|spdx license identifier curl
-ncsa|1|illinois open source license|university of illinois(?: ncsa)? open source license
+ncsa|1|university of illinois|university of illinois(?: ncsa)? open source license
 ncsa|1|spdx|spdx license identifier ncsa
 ms-pl|1|microsoft public license|microsoft public license(?: ms pl)?
 ms-pl|1|spdx|spdx license identifier ms pl
@@ -191,7 +192,7 @@ sil-ofl|1|spdx|spdx license identifier ofl 1 1(?: rfn| no rfn)?
 sil-ofl|2|open font license|open font license
 vim|1|vim license|under the vim license
 tcl|1|tcl license|tcl license
-sleepycat|1|sleepycat license|sleepycat (?:public )?license
+sleepycat|1|sleepycat|sleepycat (?:public )?license
 w3c|1|w3c software|w3c software (?:notice and license|and document license|license)
 unicode|1|unicode license agreement|unicode license agreement
 intel|1|intel open source license|intel open source license

@@ -15,8 +15,9 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def normal_words(text: Column) -> Column:
-    """The words of a text, each with one space before it and one after the last."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), NO_WORD, " ")), F.lit(" "))
+    """The words of a text, each with one space before it, and one after the last or alone."""
+    words = F.trim(F.regexp_replace(ascii_lower(text), NO_WORD, " "))
+    return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
 def _spaces(text: Column) -> Column:
@@ -40,25 +41,34 @@ def _spans(words: Column, rule: Column) -> Column:
 
 
 def _survivors(spans: Column) -> Column:
-    """``priority, label`` of the spans that no span of a stronger priority contains.
+    """``priority, label`` of the spans that no span of a stronger priority, and no larger one of
+    the same priority, contains.
 
     Sorted by start and falling end, a containing span comes first, so it is enough to remember
-    the furthest end seen of each priority.
+    the furthest end seen of each priority, and the ends before the first span of equal extent.
     """
     n = len(WEIGHTS)
     nothing = F.struct(
-        F.array(*[F.lit(0)] * n).alias("reach"), F.array().cast("array<struct<priority:int,label:string>>").alias("kept")
+        F.lit(-1).alias("start"),
+        F.lit(0).alias("back"),
+        F.array(*[F.lit(0)] * n).alias("larger"),
+        F.array(*[F.lit(0)] * n).alias("reach"),
+        F.array().cast("array<struct<priority:int,label:string>>").alias("kept"),
     )
 
     def step(state: Column, span: Column) -> Column:
         stronger = F.slice(state["reach"], 1, span["priority"] - 1)
-        hidden = F.exists(stronger, lambda end: end >= -span["back"])
+        equal = (state["start"] == span["start"]) & (state["back"] == span["back"])
+        larger = F.when(equal, state["larger"]).otherwise(state["reach"])
+        hidden = F.exists(stronger, lambda end: end >= -span["back"]) | (F.element_at(larger, span["priority"]) >= -span["back"])
         reach = F.transform(
             state["reach"], lambda end, i: F.when(i + 1 == span["priority"], F.greatest(end, -span["back"])).otherwise(end)
         )
         own = F.array(F.struct(span["priority"].alias("priority"), span["label"].alias("label")))
         kept = F.when(hidden, state["kept"]).otherwise(F.array_union(state["kept"], own))
-        return F.struct(reach.alias("reach"), kept.alias("kept"))
+        return F.struct(
+            span["start"].alias("start"), span["back"].alias("back"), larger.alias("larger"), reach.alias("reach"), kept.alias("kept")
+        )
 
     return F.aggregate(F.sort_array(spans), nothing, step, lambda state: state["kept"])
 
@@ -83,7 +93,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The text becomes lower-case words. A rule is a pattern over words with a keyword that each of
     its matches holds; texts without any keyword stem skip the rules, and a rule runs only where
     its keyword occurs. Each match is an interval of words; an interval inside one of a stronger
-    priority is suppressed. ``labels`` are those of the surviving rules and of the base phrases;
+    priority, or inside a larger one of its own, is suppressed. ``labels`` are those of the surviving rules and of the base phrases;
     ``score`` is the weight of the strongest of them, 0 without any.
 
     Null and empty texts have no words: zeros, nulls and empty label strings. Repeated rows each
