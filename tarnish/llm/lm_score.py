@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ BASE = 1.5
 #: Bits of filter per inserted level, and hash probes per level.
 BITS, PROBES = 10, 5
 #: A filter up to this size is broadcast; beyond it the probes travel to the filter's segments.
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 96 << 20
 #: Weight of the unigram distribution in a bigram probability, in observations of the history.
 PRIOR = 16.0
 _KEY_BITS = np.uint64((1 << 48) - 1)
@@ -106,15 +107,16 @@ def probe_filter(keys: np.ndarray, flat: np.ndarray, first: np.ndarray, bits: np
 class Segments:
     """Filter segments side by side, one per key range."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int):
+    def __init__(self, segments: Iterable[tuple[int, bytes]], buckets: int, size: int):
         self.first = np.zeros(buckets, dtype=np.int64)
         self.bits = np.zeros(buckets, dtype=np.uint64)
+        self.flat = np.empty(size, dtype=np.uint8)
+        self.buckets = buckets
         at = 0
-        for bucket, data in segments.items():
+        for bucket, data in segments:
             self.first[bucket], self.bits[bucket] = at, len(data) * 8
+            self.flat[at : at + len(data)] = np.frombuffer(data, dtype=np.uint8)
             at += len(data)
-        self.flat = np.frombuffer(b"".join(segments.values()), dtype=np.uint8)
-        self.buckets = buckets
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         at = _bucket(keys, self.buckets)
@@ -238,8 +240,10 @@ def lm_score(
     size = segments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if size <= broadcast_bytes:
-        held = {r["bucket"]: bytes(r["data"]) for r in segments.collect()}  # checked: at most broadcast_bytes
-        shared = docs.sparkSession.sparkContext.broadcast(Segments(held, buckets))
+        # at most broadcast_bytes reach the driver, an eighth of them at a time
+        held = Segments(map(tuple, segments.coalesce(8).toLocalIterator()), buckets, size)
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+        del held
 
         def score(texts: pd.DataFrame, numbers: np.ndarray, values: list[bytes]) -> pd.DataFrame:
             return score_texts(texts, numbers, values, n_train, n_distinct, prior, shared.value.levels)

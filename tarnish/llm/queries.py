@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnish.llm.bpe import encode
-from tarnish.llm.chat import format_chat, read_back
+from tarnish.llm.chat import BUDGET, CLOSE, CONTROL, END, HISTORY, MARK, OPEN, format_chat, read_back
 from tarnish.llm.decontaminate import find_leaks
 from tarnish.llm.exact_dedup import exact_dedup
 from tarnish.llm.html_text import extract_html
@@ -88,7 +88,45 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '{MARK}', '{MARK}0')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}{MARK}1{c[1:]}')"
+    return out
+
+
+_BEFORE = "OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+CHAT_SQL = rf"""WITH src AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) + 3 AS tokens,
+    length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len(OPEN) + len(CLOSE) + len(END)} AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS rn FROM src),
+p AS (SELECT *, coalesce(sum(tokens) {_BEFORE}, 0) AS before, rn = 1 AND role = 'system' AS is_system FROM t),
+s AS (SELECT *, coalesce(max(CASE WHEN is_system THEN tokens END) OVER (PARTITION BY conv_id), 0) AS system FROM p),
+h AS (SELECT *, before - system AS pos, greatest(floor(({BUDGET} - {HISTORY} - system) / 2.0), {BUDGET // 8}) AS half FROM s),
+b AS (SELECT *, (NOT is_system AND tokens > half)::INT AS brk FROM h),
+c AS (SELECT *, coalesce(sum(brk) {_BEFORE}, 0) AS earlier FROM b),
+own AS (SELECT *, floor((pos + tokens - 1) / half) AS piece, 2 * earlier + brk AS part FROM c WHERE NOT is_system),
+starts AS (SELECT conv_id, piece, part, min(pos) AS start FROM own GROUP BY conv_id, piece, part),
+again AS (
+  SELECT o.conv_id, sum(chars) AS chars FROM own o JOIN starts USING (conv_id)
+  WHERE o.pos + tokens <= start AND o.pos >= start - {HISTORY} GROUP BY o.conv_id),
+spans AS (SELECT conv_id, count(*) AS n FROM starts GROUP BY conv_id),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY rn) AS said,
+    coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS learned,
+    sum(CASE WHEN is_system THEN 0 ELSE chars END) AS fresh, sum(CASE WHEN is_system THEN chars ELSE 0 END) AS system FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+  (fresh + coalesce(again.chars, 0) + system * greatest(1, coalesce(n, 0)))::BIGINT AS formatted_chars
+FROM whole LEFT JOIN again USING (conv_id) LEFT JOIN spans USING (conv_id)"""
+
 ORACLES = {
+    "op10_chat_format": CHAT_SQL,
     "op1_exact_dedup": r"""WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256

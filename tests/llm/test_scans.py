@@ -118,7 +118,7 @@ def test_rare_events_back_off():
     counts = np.array([50.0] * (len(keys) - 1) + [1.0])
     zero = np.zeros(len(keys))
     model = Model(keys, np.zeros(len(keys), dtype=np.uint64), counts, zero, 100, 100, 2.0)
-    seen, rare, other = (model.word(w)[1] for w in ("abcdefgh", "abczzz", "unseen"))
+    seen, rare, other = model.words(["abcdefgh", "abczzz", "unseen"])[1]
     assert seen > rare > 1 and other == 0
     weights = fit_logistic(np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([0, 0, 1, 1.0]))
     assert weights[1] > 0
