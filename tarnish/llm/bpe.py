@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnish.llm.common import small_batches
-from tarnish.llm.wordblocks import BLOCK_BYTES, BUCKET_BYTES, per_block, per_word, word_blocks
+from tarnish.llm.wordblocks import BUCKET_BYTES, per_block, per_word, word_blocks
 
 #: Pre-tokens up to this many bytes are merged by plain scanning, longer ones through a heap.
 SCAN_LENGTH = 64
+#: Characters of text in a block: larger blocks repeat fewer words, and ids need little memory.
+BLOCK_BYTES = 10 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
