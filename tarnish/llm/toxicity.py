@@ -17,13 +17,17 @@ from tarnish.llm.common import remainder, small_batches, staged, text_of
 MAX_TOXIC, MAX_ORDINARY = 6000, 12000
 #: What absolute discounting takes from every count, in documents of the smaller class.
 DISCOUNT = 2.0
+#: Least share of the back-off count for either class.
+FLOOR = 0.05
+#: Events that a task counts at a time.
+COUNTED = 1 << 19
 #: A word backs off to its first letters, longest first.
 PREFIXES = (8, 7, 6, 5, 4, 3)
 #: Share of a text's tokens that its most telling passage takes.
 TELLING = 0.01
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
-_CACHE = 1 << 20
+_CACHE = 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,23 +76,33 @@ def count_documents(sample: DataFrame) -> DataFrame:
     repeats itself counts once. ``before`` is the key of a pair's first word, 0 for other events.
     """
 
+    def counted(keys: list, before: list, at: list) -> pd.DataFrame:
+        key, first_words, column = np.concatenate(keys), np.concatenate(before), np.concatenate(at)
+        unique, first, place = np.unique(key, return_index=True, return_inverse=True)
+        counts = np.zeros((len(unique), 4), dtype=np.int64)
+        np.add.at(counts, (place, column), 1)
+        out = pd.DataFrame(counts, columns=["c0", "c1", "c2", "c3"])
+        return out.assign(key=unique.view(np.int64), before=first_words[first].view(np.int64))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, before, at, n = [], [], [], 0
         for batch in batches:
-            keys, before, at = [], [], []
             for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
                 words = words_of(text)
+                if not words:
+                    continue
                 singles = {k for w in set(words) for k in events_of(w)}
                 hashes = np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words))
-                pairs, first = np.unique(pair_keys(hashes), return_index=True) if len(words) > 1 else (hashes[:0], [])
+                pairs, first = np.unique(pair_keys(hashes), return_index=True)
                 keys += [np.fromiter(singles, dtype=np.uint64, count=len(singles)), pairs]
-                before += [np.zeros(len(singles), dtype=np.uint64), hashes[first] if len(words) > 1 else hashes[:0]]
+                before += [np.zeros(len(singles), dtype=np.uint64), hashes[first]]
                 at.append(np.full(len(singles) + len(pairs), 2 * int(toxic) + fold))
-            key, before, at = np.concatenate(keys), np.concatenate(before), np.concatenate(at)
-            unique, first, place = np.unique(key, return_index=True, return_inverse=True)
-            counts = np.zeros((len(unique), 4), dtype=np.int64)
-            np.add.at(counts, (place, at), 1)
-            out = pd.DataFrame(counts, columns=["c0", "c1", "c2", "c3"])
-            yield out.assign(key=unique.view(np.int64), before=before[first].view(np.int64))
+                n += len(at[-1])
+                if n >= COUNTED:
+                    yield counted(keys, before, at)
+                    keys, before, at, n = [], [], [], 0
+        if n:
+            yield counted(keys, before, at)
 
     partial = sample.mapInPandas(run, "c0 long, c1 long, c2 long, c3 long, key long, before long")
     return partial.groupBy("key").agg(F.max("before").alias("before"), *[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")])
@@ -104,21 +118,32 @@ class Model:
     """
 
     def __init__(self, keys, before, toxic, ordinary, n_toxic: int, n_ordinary: int, discount: float):
-        scale = n_toxic / max(1, n_ordinary)
-        toxic, ordinary = toxic.astype(float), ordinary * scale
+        counts = np.column_stack([toxic, ordinary * (n_toxic / max(1, n_ordinary))]).astype(float)
         single = before == 0
-        kept = single & ((toxic > discount) | (ordinary > discount))
-        rows = np.stack([toxic[kept], ordinary[kept]], axis=1)
-        self.single = dict(zip(keys[kept].tolist(), map(tuple, self._split(rows, discount).tolist())))
+        self.singles, rows = self._kept(keys[single], counts[single], discount)
+        self.single_parts = self._split(rows, discount)
         # a pair's counts are compared given its first word
-        known = dict(zip(keys[kept].tolist(), rows.tolist()))
-        first = np.array([known.get(b, (1.0, 1.0)) for b in before[~single].tolist()]).reshape(-1, 2)
-        given = ordinary[~single] * (first[:, 0] + discount) / (first[:, 1] + discount)
-        held = (toxic[~single] > discount) | (given > discount)
-        pair = keys[~single][held]
-        order = np.argsort(pair)
-        self.pairs = pair[order]
-        self.pair_parts = self._split(np.stack([toxic[~single][held], given[held]], axis=1), discount)[order]
+        at, known = self._find(self.singles, before[~single])
+        first = np.ones((len(at), 2))
+        first[known] = rows[at[known]]
+        pairs = counts[~single]
+        pairs[:, 1] *= (first[:, 0] + discount) / (first[:, 1] + discount)
+        self.pairs, rows = self._kept(keys[~single], pairs, discount)
+        self.pair_parts = self._split(rows, discount)
+
+    @staticmethod
+    def _kept(keys: np.ndarray, counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        held = (counts > discount).any(axis=1)
+        order = np.argsort(keys[held])
+        return keys[held][order], counts[held][order]
+
+    @staticmethod
+    def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key would stand among the known ones, and whether it does."""
+        if not len(known):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
 
     @staticmethod
     def _split(counts: np.ndarray, discount: float) -> np.ndarray:
@@ -128,16 +153,22 @@ class Model:
 
     @staticmethod
     def _ratio(toxic, ordinary, shared, coarser):
-        part = shared / (1 + np.exp(-coarser))
+        # a twentieth of it goes to either side whatever the coarser event says, so no ratio runs away
+        part = shared * (FLOOR + (1 - 2 * FLOOR) / (1 + np.exp(-coarser)))
         return np.log((toxic + part) / (ordinary + shared - part))
 
-    def word(self, word: str) -> tuple[int, float]:
-        ratio, key = 0.0, 0
-        for key in events_of(word):
-            found = self.single.get(key)
-            if found is not None:
-                ratio = float(self._ratio(*found, ratio))
-        return key, ratio
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The key and the log ratio of each word, from its coarsest event to the word itself."""
+        events = np.zeros((len(words), len(PREFIXES) + 1), dtype=np.uint64)
+        for row, word in enumerate(words):
+            own = events_of(word)
+            events[row, -len(own) :] = own
+        ratios = np.zeros(len(words))
+        for keys in events.T:
+            at, known = self._find(self.singles, keys)
+            known &= keys > 0
+            ratios[known] = self._ratio(*self.single_parts[at[known]].T, ratios[known])
+        return events[:, -1], ratios
 
     def features(self, texts, cache: dict) -> np.ndarray:
         """Length-normalised log-likelihood ratio of each text, and of its most telling tokens."""
@@ -148,17 +179,14 @@ class Model:
                 continue
             if len(cache) > _CACHE:
                 cache.clear()
-            for w in set(words):
-                if w not in cache:
-                    cache[w] = self.word(w)
+            new = [w for w in set(words) if w not in cache]
+            cache.update(zip(new, zip(*(column.tolist() for column in self.words(new)))))
             both = [cache[w] for w in words]
             hashes = np.fromiter((b[0] for b in both), dtype=np.uint64, count=len(both))
             ratios = np.fromiter((b[1] for b in both), dtype=float, count=len(both))
-            if len(self.pairs) and len(words) > 1:
-                keys = pair_keys(hashes)
-                at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-                hit = np.flatnonzero(self.pairs[at] == keys)
-                ratios[hit + 1] = self._ratio(*self.pair_parts[at[hit]].T, ratios[hit + 1])
+            at, known = self._find(self.pairs, pair_keys(hashes))
+            hit = np.flatnonzero(known)
+            ratios[hit + 1] = self._ratio(*self.pair_parts[at[hit]].T, ratios[hit + 1])
             n = max(1, int(len(words) * TELLING))
             out[row] = ratios.mean(), np.partition(ratios, len(ratios) - n)[-n:].mean()
         return out
@@ -208,9 +236,10 @@ def fit_toxicity(
     if not sizes.all():
         return Scorer(None, np.zeros(3))
     least = discount * min(1.0, max(1.0, (sizes[0] + sizes[1]) / (sizes[2] + sizes[3])))
-    counts = count_documents(sample).filter(f"c0 + c1 > {least} or c2 + c3 > {least}").toPandas()
+    counts = count_documents(sample).filter(f"c0 + c1 > {least} or c2 + c3 > {least}").toArrow()
     keys, before = (counts[c].to_numpy().view(np.uint64) for c in ("key", "before"))
     c = [counts[f"c{i}"].to_numpy() for i in range(4)]
+    del counts
     folds = [Model(keys, before, c[3 - f], c[1 - f], sizes[3 - f], sizes[1 - f], discount) for f in (0, 1)]
     shared = docs.sparkSession.sparkContext.broadcast(folds)
 
@@ -222,8 +251,10 @@ def fit_toxicity(
             out[own] = model.features(text[own].tolist(), {})
         return pd.Series(list(out))
 
-    rows = sample.select("toxic", unseen("text", "fold").alias("features")).toPandas()
-    weights = fit_logistic(np.array(rows["features"].tolist()), rows["toxic"].to_numpy(dtype=float))
+    found = unseen("text", "fold")
+    rows = sample.select("toxic", found.alias("f")).select("toxic", F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).toArrow()
+    features = np.column_stack([rows["a"].to_numpy(), rows["b"].to_numpy()])
+    weights = fit_logistic(features, rows["toxic"].to_numpy().astype(float))
     return Scorer(Model(keys, before, c[2] + c[3], c[0] + c[1], sizes[2] + sizes[3], sizes[0] + sizes[1], discount), weights)
 
 
