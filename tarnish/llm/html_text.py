@@ -29,11 +29,13 @@ ENDS = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}),
-    "td": ({"td", "th"}, {"table", "tr"}),
-    "th": ({"td", "th"}, {"table", "tr"}),
-    **{t: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"table", "tr"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"table", "tr"}),
+    **{t: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
 }
+#: What may stand in a head; any other element ends it.
+HEAD = set("html head base basefont bgsound link meta title script style template noscript noframes".split())
 BARRIER = set("table td th caption button object html body template".split())
 #: Browsers flatten deeper trees as well; it bounds the recursion.
 DEPTH = 200
@@ -65,6 +67,8 @@ def parse(source: str) -> tuple[Node, set[str]]:
     while True:
         found = TOKEN.search(source, at)
         if text := source[at : found.start() if found else len(source)]:
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(html.unescape(text))
         if not found:
             return root, hidden
@@ -98,7 +102,22 @@ def _hiding(sheet: str) -> Iterator[str]:
 
 
 def _imply(stack: list[Node], tag: str) -> None:
-    """Close what the opening tag ends by implication."""
+    """Close what the opening tag ends by implication, and open the row that a cell needs."""
+    if tag not in HEAD:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "template":
+                break
+            if stack[i].tag == "head":
+                del stack[i:]
+                break
+    _end(stack, tag)
+    if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot") and len(stack) < DEPTH:
+        row = Node("tr", {})
+        stack[-1].children.append(row)
+        stack.append(row)
+
+
+def _end(stack: list[Node], tag: str) -> None:
     ended, barrier = ENDS.get(tag, (set(), set()))
     if tag in ENDS_P:
         ended, barrier = ended | {"p"}, barrier | BARRIER
@@ -233,10 +252,10 @@ class Page:
     def table(self, node: Node) -> None:
         """Rows of cells in columns where every cell is short, else one cell under the other."""
         self.break_line(True)
-        rows, captions, stack = [], [], [node]
-        while stack:
-            top = stack.pop()
-            for child in top.children if top.tag != "tr" else ():
+        rows, captions = [], []
+
+        def walk(part: Node) -> None:
+            for child in part.children:
                 if isinstance(child, str):
                     if child.strip():
                         self.text(child)  # misplaced text stands before the table
@@ -244,9 +263,11 @@ class Page:
                     if child.tag in ("caption", "tr"):
                         (captions if child.tag == "caption" else rows).append(child)
                     elif child.tag in ("thead", "tbody", "tfoot"):
-                        rows.extend(c for c in child.children if not isinstance(c, str) and c.tag == "tr" and self.visible(c))
+                        walk(child)
                     else:
                         self.render(child)
+
+        walk(node)
         for caption in captions:
             self.render(caption)
         self.break_line(True)

@@ -205,6 +205,26 @@ def test_layout(source, text):
     assert visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<html><head><title>T</title><body><p>text", "text"),
+        ("<html><head><title>T</title><meta name=a><p>text<p>more", "text\n\nmore"),
+        ("<head><link rel=x><div>text</div>", "text"),
+        ("<head><title>T</title> bare text", "bare text"),
+        ("<head><template><div>no</div></template></head><body>yes", "yes"),
+        ("<head><style>p{}</style><script>no</script></head><body>yes", "yes"),
+        ("<table><tbody><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><td>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><colgroup><col><col><tr><td>a<td>b</table>", "a  b"),
+        ("<table><caption>cap<td>a</table>", "cap\n\na"),
+        ("<table><tbody>loose<div>block</div><tr><td>a</tbody></table>", "loose\nblock\n\na"),
+    ],
+)
+def test_implied_tags(source, text):
+    assert visible_text(source) == text
+
+
 def test_extract_html(spark):
     rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, None, None), (2, "<b>" + "word " * 50000, "t")]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
