@@ -48,8 +48,10 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?|[{};]|[^{};\"']+", re.DOTALL)
+SHOWING = re.compile(r"\s*(display|visibility)\s*:\s*([\w\s-]+?)\s*(!\s*important)?\s*", re.IGNORECASE)
+#: Media queries that always hold on a screen.
+ALWAYS = {"", "all", "screen", "only all", "only screen", "not print"}
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -60,10 +62,11 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def parse(source: str) -> tuple[Node, set[str]]:
-    """The tree, and the simple selectors (tag, .class, #id) that style sheets hide."""
+def parse(source: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
+    """The tree, and what style sheets say on the visibility of simple selectors (tag, .class, #id):
+    per selector and property its rank and whether it hides."""
     root = Node("#root", {})
-    stack, hidden, at = [root], set(), 0
+    stack, hidden, at = [root], {}, 0
     while True:
         found = TOKEN.search(source, at)
         if text := source[at : found.start() if found else len(source)]:
@@ -87,18 +90,65 @@ def parse(source: str) -> tuple[Node, set[str]]:
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE).search(source, at)
                 inside, at = source[at : end.start()], end.end()
-                if tag == "style":
-                    hidden.update(_hiding(inside))
+                if tag == "style" and _always(attributes.get("media", "")):
+                    _read_sheet(inside, hidden)
                 elif tag == "textarea":
                     node.children.append(html.unescape(inside))
             elif tag not in VOID and len(stack) < DEPTH:
                 stack.append(node)
 
 
-def _hiding(sheet: str) -> Iterator[str]:
-    for selectors, rules in RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL)):
-        if HIDING.search(rules):
-            yield from (s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
+def _always(media: str) -> bool:
+    """Whether one of the media queries holds on a screen whatever its size."""
+    return any(" ".join(query.lower().split()) in ALWAYS for query in media.split(","))
+
+
+def _declarations(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declaration of all rules that hold without a condition, in order."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.DOTALL)
+    stack, piece = [(True, "")], ""
+    for token in [*CSS.findall(re.sub(r"<!--|-->", " ", sheet)), ";"]:
+        if token not in ("{", "}", ";"):
+            piece += token
+            continue
+        holds, selectors = stack[-1]
+        if token == "{":
+            at_rule = re.fullmatch(r"\s*@([\w-]+)(.*)", piece, re.DOTALL)
+            if at_rule:
+                name = at_rule[1].lower()
+                holds = holds and (name == "layer" or (name == "media" and _always(at_rule[2])))
+            else:
+                # a rule inside a rule depends on where its element stands
+                holds, selectors = holds and not selectors, piece
+            stack.append((holds, selectors))
+        else:
+            if holds and selectors:
+                yield selectors, piece
+            if token == "}" and len(stack) > 1:
+                stack.pop()
+        piece = ""
+
+
+def _showing(declaration: str, rank: int, order: int) -> tuple[str, tuple] | None:
+    """The property, and its rank followed by whether it hides; nothing for other declarations."""
+    found = SHOWING.fullmatch(declaration)
+    if not found:
+        return None
+    hides = found[2].lower() in (("none",) if found[1].lower() == "display" else ("hidden", "collapse"))
+    return found[1].lower(), (bool(found[3]), rank, order, hides)
+
+
+def _read_sheet(sheet: str, hidden: dict[str, dict[str, tuple]]) -> None:
+    """Add a style sheet's rules. Important ones win, then ids over classes over tags, then the last."""
+    order = max((r[2] for h in hidden.values() for r in h.values()), default=0)
+    for selectors, declaration in _declarations(sheet):
+        for selector in map(str.strip, selectors.split(",")):
+            if not re.fullmatch(r"[.#]?[\w-]+", selector):
+                continue
+            rank = 2 if selector[0] == "#" else int(selector[0] == ".")
+            if found := _showing(declaration, rank, order := order + 1):
+                own = hidden.setdefault(selector if rank else selector.lower(), {})
+                own[found[0]] = max(found[1], own.get(found[0], found[1]))
 
 
 def _imply(stack: list[Node], tag: str) -> None:
@@ -148,7 +198,7 @@ def _close(stack: list[Node], tag: str) -> None:
 class Page:
     """Lines written so far. Inline text collapses its white space; blocks ask for line breaks."""
 
-    def __init__(self, hidden: set[str]):
+    def __init__(self, hidden: dict[str, dict[str, tuple]]):
         self.hidden, self.lines, self.line, self.gap, self.indent, self.mark = hidden, [], "", 0, "", ""
         self.space = False
 
@@ -176,12 +226,16 @@ class Page:
         a = node.attributes
         if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
             return False
-        if HIDING.search(a.get("style", "")):
-            return False
-        if not self.hidden:
+        written = a.get("style", "")
+        if not self.hidden and not written:
             return True
-        names = {node.tag, "#" + a.get("id", ""), *("." + c for c in a.get("class", "").split())}
-        return not names & self.hidden
+        names = [node.tag, "#" + a.get("id", ""), *("." + c for c in a.get("class", "").split())] if self.hidden else []
+        said = [item for name in names for item in self.hidden.get(name, {}).items()]
+        said += filter(None, (_showing(d, 3, i) for i, d in enumerate(written.split(";")))) if written else []
+        best = {}
+        for what, rank in said:
+            best[what] = max(rank, best.get(what, rank))
+        return not any(rank[-1] for rank in best.values())
 
     def render(self, node: Node) -> None:
         tag = node.tag

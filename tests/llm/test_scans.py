@@ -225,6 +225,38 @@ def test_implied_tags(source, text):
     assert visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "sheet,shown",
+    [
+        ("@media print{.x{display:none}}", True),
+        ("@media (max-width:600px){.x{display:none}.y{color:red}}", True),
+        ("@media screen and (max-width:600px){ .x { display: none } }", True),
+        ("@media screen{.x{display:none}}", False),
+        ("@media print, all { .x{display:none} }", False),
+        ("@supports (display:grid){@media all{.x{display:none}}} .y{display:none}", True),
+        ("@keyframes a{from{visibility:hidden}to{visibility:visible}} .x{color:red}", True),
+        ("@charset 'a'; @font-face{font-family:'}'} .x{display:none}", False),
+        (".x{display:none}.x{display:block}", True),
+        (".x{display:block}.x{color:red;display:none}", False),
+        (".x{display:none!important}.x{display:block}", False),
+        ("#i{display:block}.x{display:none}", True),
+        (".x{display:none}", False),
+        (".x{display:none;.x{display:block}}", False),
+        (".a{.x{display:none}}", True),
+        (".x{display:none", False),
+    ],
+)
+def test_style_sheets(sheet, shown):
+    assert visible_text(f"<style>{sheet}</style><div class=x id=i>text</div>") == "text" * shown
+
+
+def test_style_attributes():
+    assert visible_text("<style media=print>.x{display:none}</style><p class=x>a") == "a"
+    assert visible_text("<style>.x{display:none}</style><style>.x{display:block}</style><p class=x>a") == "a"
+    assert visible_text("<style>.x{display:none}</style><p class=x style='display:block'>a<p style='display:none;display:block'>b") == "a\n\nb"
+    assert visible_text("<style>DIV{display:none}</style><div>a</div>b") == "b"
+
+
 def test_extract_html(spark):
     rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, None, None), (2, "<b>" + "word " * 50000, "t")]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
