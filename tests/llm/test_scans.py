@@ -162,6 +162,30 @@ def test_leaks(spark, empty, odd):
     assert drop_leaks(odd, benchmark.filter("item_id = 4")).count() == odd.count()
 
 
+def leaked(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in find_leaks(docs, items).collect()}
+
+
+def test_dense_questions_are_found_at_every_offset(spark):
+    items = [
+        "A train travels 120 km in 3 hours. How many km in 5 hours?",
+        "Convert 3 hours 20 minutes 15 seconds to seconds.",
+        "A car drives 60 miles in 2 hours and 30 miles in 1 hour. How many miles per hour is that?",
+    ]
+    changed = [
+        "A train travels 450 km in 7 hours. How many km in 9 hours?",
+        "Convert 8 hours 41 minutes 37 seconds to seconds.",
+        "A car drives 75 miles in 4 hours and 20 miles in 6 hours. How many miles per hour is that?".replace("6 hours", "6 hour"),
+    ]
+    docs = ["so. " * (k + 1) + text + " and then more text follows" for text in changed for k in range(5)]
+    assert leaked(spark, docs, items) == {(5 * i + k, i): True for i in range(3) for k in range(5)}
+    # numbers alone say nothing
+    table = "11 22 33 44 55 66 77 88 99 10 21 32 apples"
+    assert leaked(spark, ["1 2 3 4 5 6 7 8 9 10 11 12 apples"], [table]) == {}
+
+
 def test_every_planted_passage_is_found(spark):
     folder = "/root/testdata/sf0.01"
     docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
