@@ -192,8 +192,9 @@ def find_leaks(
 
     def conflicts(place: Column) -> Column:
         """Changes of a value that has another counterpart as well; ``kept``: one of these is the value itself."""
-        odd = lambda v: F.exists(place["values"], lambda w: (w["a"] == v["a"]) != (w["b"] == v["b"]))
-        bad = F.transform(F.filter(place["values"], odd), lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), F.lit(False).alias("kept")))
+        others = lambda v: F.filter(place["values"], lambda w: (w["a"] == v["a"]) & (w["b"] != v["b"]))
+        changed = F.filter(place["values"], lambda v: (v["a"] != v["b"]) & (F.size(others(v)) > 0))
+        bad = F.transform(changed, lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), F.exists(others(v), lambda w: w["b"] == v["a"]).alias("kept")))
         return F.struct(*[place[c].alias(c) for c in ("shift", "starts", "values")], bad.alias("bad"))
 
     def counted(place: Column) -> Column:

@@ -186,6 +186,13 @@ def test_dense_questions_are_found_at_every_offset(spark):
     assert leaked(spark, ["1 2 3 4 5 6 7 8 9 10 11 12 apples"], [table]) == {}
 
 
+def test_values_may_meet_and_one_slip_costs_its_windows(spark):
+    item = "Tom puts 7 apples and 5 pears into the basket, then eats 7 apples and gives 5 pears away before lunch. How many are left?"
+    met = item.replace("7", "6").replace("5", "6")
+    slip = item.replace("eats 7", "eats 8")
+    assert leaked(spark, [met, slip], [item]) == {(0, 0): True, (1, 0): False}
+
+
 def test_every_planted_passage_is_found(spark):
     folder = "/root/testdata/sf0.01"
     docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
