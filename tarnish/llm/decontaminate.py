@@ -225,7 +225,7 @@ def find_leaks(
     # staged, as Spark would repeat the steps for the filter
     placed = staged(pairs.select("id", "text_hash", "item_id", n.alias("n"), places.alias("places")))
     words = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: p["covered"]))))
-    judged = placed.select(
+    judged = placed.filter(words >= F.least(F.col("n"), F.lit(2 * WINDOW - 1))).select(
         F.col("id").alias("doc_id"),
         "item_id",
         (words / F.col("n")).alias("coverage"),

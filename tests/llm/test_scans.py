@@ -193,6 +193,13 @@ def test_values_may_meet_and_one_slip_costs_its_windows(spark):
     assert leaked(spark, [met, slip], [item]) == {(0, 0): True, (1, 0): False}
 
 
+def test_short_items_need_all_their_words(spark):
+    items = ["What is 12 + 35?", "Explain", "one two three four five six seven eight nine ten"]
+    docs = [f"{'x ' * k}{text}" for k in range(4) for text in ("what is this", "tell me what is 4 + 5 now", "six seven eight nine ten one two", "so explain it")]
+    want = {(4 * k + 1, 0): True for k in range(4)} | {(4 * k + 3, 1): False for k in range(4)}
+    assert leaked(spark, docs, items) == want
+
+
 def test_every_planted_passage_is_found(spark):
     folder = "/root/testdata/sf0.01"
     docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
