@@ -12,6 +12,7 @@ from tarnish.llm.exact_dedup import exact_dedup
 from tarnish.llm.html_text import extract_html
 from tarnish.llm.license_scan import license_scan
 from tarnish.llm.lm_score import lm_score
+from tarnish.llm.merkle import merkle_manifest
 from tarnish.llm.sharding import assign_shards
 from tarnish.llm.simhash import near_duplicates
 from tarnish.llm.toxicity import score_toxicity
@@ -75,6 +76,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(rows.unionByName(extra)))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_merkle": op11_merkle,
 }
 
 
@@ -125,7 +131,64 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_c
   (fresh + coalesce(again.chars, 0) + system * greatest(1, coalesce(n, 0)))::BIGINT AS formatted_chars
 FROM whole LEFT JOIN again USING (conv_id) LEFT JOIN spans USING (conv_id)"""
 
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII string; 3988292384 is the reversed polynomial."""
+    byte = f"[4294967295::BIGINT] || list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::BIGINT)"
+    return f"xor(list_reduce({byte}, lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(concat(strlen({value}::VARCHAR), ':', {value}::VARCHAR), '-')"
+
+
+_LEAF = "sha256(concat(" + ", ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_AROUND = "array_to_string(kids[:pos], ''), {own}array_to_string(kids[pos + 2:], '')"
+
+MERKLE_SQL = f"""WITH RECURSIVE d AS (
+  SELECT *, {_LEAF.format(text='text')} AS leaf,
+    CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN {_LEAF.format(text=_LOWERED)} END AS other FROM documents),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS total, row_number() OVER () AS rid FROM d),
+up AS (
+  SELECT source, 0 AS level, place, total, leaf AS digest FROM l
+  UNION ALL
+  SELECT source, level + 1, place // 16, (total + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM up WHERE total > 1
+  GROUP BY source, level, place // 16, total),
+roots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM up WHERE total = 1),
+over AS (
+  SELECT 0 AS level, place, total, digest FROM roots
+  UNION ALL
+  SELECT level + 1, place // 16, (total + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM over WHERE total > 1
+  GROUP BY level, place // 16, total),
+runs AS (
+  SELECT false AS top, source, level, place // 16 AS run, list(digest ORDER BY place) AS kids FROM up WHERE total > 1 GROUP BY ALL
+  UNION ALL
+  SELECT true, NULL, level, place // 16, list(digest ORDER BY place) FROM over WHERE total > 1 GROUP BY ALL),
+climb AS (
+  SELECT rid, source, false AS top, 0 AS level, place, total, coalesce(other, leaf) AS folded, '' AS proof FROM l
+  UNION ALL
+  SELECT rid, source, top, level, place, total, sha256(concat({_AROUND.format(own='folded, ')})), concat(proof, {_AROUND.format(own='')})
+  FROM (
+    SELECT c.rid, c.source, c.top, c.level + 1 AS level, c.place // 16 AS place, (c.total + 15) // 16 AS total, c.folded, c.proof, r.kids, c.place % 16 AS pos
+    FROM climb c JOIN runs r ON r.top = c.top AND (c.top OR r.source IS NOT DISTINCT FROM c.source) AND r.level = c.level AND r.run = c.place // 16
+    WHERE c.total > 1
+    UNION ALL
+    SELECT c.rid, c.source, true, 1, s.place // 16, (s.total + 15) // 16, c.folded, c.proof, r.kids, s.place % 16
+    FROM climb c JOIN roots s ON s.source IS NOT DISTINCT FROM c.source JOIN runs r ON r.top AND r.level = 0 AND r.run = s.place // 16
+    WHERE c.total = 1 AND NOT c.top AND s.total > 1) step),
+done AS (SELECT climb.*, roots.digest AS subroot FROM climb JOIN roots ON roots.source IS NOT DISTINCT FROM climb.source
+  WHERE climb.total = 1 AND (climb.top OR roots.total = 1)),
+root AS (SELECT digest AS root FROM over WHERE total = 1)
+SELECT l.doc_id, l.leaf, done.subroot, root, sha256(done.proof) AS proof_sha256, done.folded AS folded_root, done.folded = root AS verified
+FROM l JOIN done USING (rid), root"""
+
 ORACLES = {
+    "op11_merkle": MERKLE_SQL,
     "op10_chat_format": CHAT_SQL,
     "op1_exact_dedup": r"""WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
