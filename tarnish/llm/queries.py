@@ -13,6 +13,7 @@ from tarnish.llm.html_text import extract_html
 from tarnish.llm.license_scan import license_scan
 from tarnish.llm.lm_score import lm_score
 from tarnish.llm.merkle import merkle_manifest
+from tarnish.llm.prefix_trie import prefix_trie
 from tarnish.llm.sharding import assign_shards
 from tarnish.llm.simhash import near_duplicates
 from tarnish.llm.toxicity import score_toxicity
@@ -80,6 +81,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
     "op11_merkle": op11_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -187,7 +193,34 @@ root AS (SELECT digest AS root FROM over WHERE total = 1)
 SELECT l.doc_id, l.leaf, done.subroot, root, sha256(done.proof) AS proof_sha256, done.folded AS folded_root, done.folded = root AS verified
 FROM l JOIN done USING (rid), root"""
 
+TRIE_SQL = f"""WITH t AS (
+  SELECT conv_id, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS said,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS rn FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS lead, {crc32_sql('conv_id::VARCHAR')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+m AS (SELECT c.*, least(h, (SELECT count(*) FROM o WHERE o.conv_id = c.lead)) AS m FROM c),
+r AS (
+  SELECT m.conv_id, rn AS d, said, words FROM m JOIN o ON o.conv_id = lead AND rn <= h
+  UNION ALL SELECT m.conv_id, rn - h + m, said, words FROM m JOIN o ON o.conv_id = m.conv_id AND rn > h),
+p AS (
+  SELECT conv_id, d, words, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS parent, max(d) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (
+  SELECT d, key, parent, any_value(words) AS words, min(conv_id) AS low, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last), '')) AS ends FROM q GROUP BY d, key, parent),
+k AS (SELECT d - 1 AS d, parent AS key, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+s AS (
+  SELECT a.d, a.key, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (k.kids IS NULL) AS leaves
+  FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key JOIN q a ON a.conv_id = n.low AND a.d <= n.d GROUP BY a.d, a.key)
+SELECT n.low AS conv_id, n.d AS depth, up.low AS parent_conv_id, n.n_convs, coalesce(k.kids, 0) AS n_children,
+  s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.key = n.key LEFT JOIN k ON k.d = n.d AND k.key = n.key
+LEFT JOIN n up ON up.d = n.d - 1 AND up.key = n.parent"""
+
 ORACLES = {
+    "op13_prefix_trie": TRIE_SQL,
     "op11_merkle": MERKLE_SQL,
     "op10_chat_format": CHAT_SQL,
     "op1_exact_dedup": r"""WITH d AS (
