@@ -16,6 +16,7 @@ from tarnish.llm.merkle import merkle_manifest
 from tarnish.llm.prefix_trie import prefix_trie
 from tarnish.llm.sharding import assign_shards
 from tarnish.llm.simhash import near_duplicates
+from tarnish.llm.substrings import repeated_spans
 from tarnish.llm.toxicity import score_toxicity
 
 
@@ -81,6 +82,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
     "op11_merkle": op11_merkle,
+    "op12_substrings": op12_substrings,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -193,6 +199,16 @@ root AS (SELECT digest AS root FROM over WHERE total = 1)
 SELECT l.doc_id, l.leaf, done.subroot, root, sha256(done.proof) AS proof_sha256, done.folded AS folded_root, done.folded = root AS verified
 FROM l JOIN done USING (rid), root"""
 
+SUBSTRING_SQL = r"""WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+e AS (SELECT rid, doc_id, pos, md5(array_to_string(words[pos:pos + 19], ' ')) AS edge FROM d, unnest(range(1, len(words) - 18)) r(pos)),
+f AS (SELECT rid, pos, row_number() OVER (PARTITION BY edge ORDER BY doc_id, pos) AS nth FROM e),
+gone AS (SELECT DISTINCT rid, k FROM f, unnest(range(pos, pos + 20)) r(k) WHERE nth > 1),
+w AS (SELECT rid, k, words[k] AS word FROM d, unnest(range(1, len(words) + 1)) r(k)),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM w ANTI JOIN gone USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
+
 TRIE_SQL = f"""WITH t AS (
   SELECT conv_id, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS said,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
@@ -220,6 +236,7 @@ FROM n JOIN s ON s.d = n.d AND s.key = n.key LEFT JOIN k ON k.d = n.d AND k.key
 LEFT JOIN n up ON up.d = n.d - 1 AND up.key = n.parent"""
 
 ORACLES = {
+    "op12_substrings": SUBSTRING_SQL,
     "op13_prefix_trie": TRIE_SQL,
     "op11_merkle": MERKLE_SQL,
     "op10_chat_format": CHAT_SQL,
