@@ -71,12 +71,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Rows that agree in id and text are one document; which of them stays is not determined.
+    Rows that agree in id and text are one document; which of them stays is not determined. Null
+    ids equal each other, null texts are empty, an empty table stays empty, and columns of any
+    name pass through. Documents are looked up by a hash join and not sorted; only rows whose id and text
+    occur more than once are ranked.
     """
-    kept = exact_dedup(docs, id_col, text_col, fan_in).filter("kept")
-    kept = kept.select(packed_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    found = staged(exact_dedup(docs, id_col, text_col, fan_in).select(packed_key(F.col("doc_id"), F.col("text_sha256")).alias("key"), "kept"))
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("kept")
+    keys = staged(keys.select("key", "n"))
     digest = F.sha2(F.regexp_replace(text_of(docs, text_col), WHITE, " "), 256)
     packed = docs.select(packed_key(docs[id_col], digest).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    once = packed.join(keys.filter("n = 1").hint("shuffle_hash"), "key", "left_semi").select("doc.*")
+    if keys.filter("n > 1").isEmpty():
+        return once
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
-    once = packed.withColumn("place", place).filter("place = 1")
-    return once.join(kept, "key", "left_semi").select("doc.*")
+    again = packed.join(keys.filter("n > 1").hint("shuffle_hash"), "key", "left_semi").withColumn("place", place).filter("place = 1")
+    return once.unionByName(again.select("doc.*"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,6 +254,7 @@ def fit_toxicity(
 
     found = unseen("text", "fold")
     rows = sample.select("toxic", found.alias("f")).select("toxic", F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).toArrow()
+    shared.destroy()
     features = np.column_stack([rows["a"].to_numpy(), rows["b"].to_numpy()])
     weights = fit_logistic(features, rows["toxic"].to_numpy().astype(float))
     return Scorer(Model(keys, before, c[2] + c[3], c[0] + c[1], sizes[2] + sizes[3], sizes[0] + sizes[1], discount), weights)
@@ -261,16 +263,15 @@ def fit_toxicity(
 # -------------------------------------------------------------------- scoring
 
 
-def toxicity_column(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> Column:
-    """The score of the text column, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+def toxicity_column(shared: Broadcast, text: Column) -> Column:
+    """The score of a text, 0 to 1, by a broadcast :class:`Scorer`."""
 
     @F.pandas_udf("double")
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in columns:
             yield pd.Series(shared.value.scores(column.tolist()))
 
-    return run(text_of(docs, text_col))
+    return run(text)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -288,13 +289,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     small_batches(docs.sparkSession)
     scorer = fit_toxicity(docs, labels, id_col, text_col, **limits)
-    score = toxicity_column(docs, scorer, text_col)
+    score = toxicity_column(docs.sparkSession.sparkContext.broadcast(scorer), text_of(docs, text_col))
     rows = docs.select(docs[id_col].alias("doc_id"), (remainder(docs[id_col], 3) == 1).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    They are written once, so that the model leaves the workers before later stages run. Null and
+    empty texts score like no evidence, rows with null or repeated ids are judged one by one, an
+    empty table stays empty, and columns of any name pass through.
+    """
     small_batches(docs.sparkSession)
     scorer = fit_toxicity(docs, labels, id_col, text_col, **limits)
-    return docs.filter(toxicity_column(docs, scorer, text_col) < THRESHOLD)
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    kept = staged(docs.filter(toxicity_column(shared, text_of(docs, text_col)) < THRESHOLD))
+    shared.destroy()
+    return kept
