@@ -77,7 +77,12 @@ def wide_sql(cells: str) -> str:
     return f"SELECT row_id, {', '.join(picks)} FROM {cells} GROUP BY row_id"
 
 
-CELL_TEXT = f"concat('{SEED}:', row_id, ':', col)"
+def cell_text(seed: int, purpose: str = "") -> str:
+    """What the draw of a cell hashes."""
+    return f"concat('{seed}:', row_id, ':', col{f", ':{purpose}'" if purpose else ''})"
+
+
+CELL_TEXT = cell_text(SEED)
 
 
 def _in(columns) -> str:
@@ -100,88 +105,108 @@ hit AS (SELECT row_id, col,
         FROM ranked)
 {wide_sql('hit')}"""
 
+
+def token_sql(seed: int) -> str:
+    """The token that a drawn cell gets."""
+    text = cell_text(seed)
+    return f"""CASE WHEN col IN {_in(COHORT.categorical)} THEN {_choice(INVALID_CATEGORY, small_bits_sql(text))}
+       WHEN col IN {_in(COHORT.flags)} AND {unit_sql(text, 1)} >= 0.6 THEN {_choice(INVALID_FLAG, small_bits_sql(text))}
+       ELSE {_choice(INVALID_TEXT, small_bits_sql(text))} END"""
+
+
 VALIDITY_SQL = f"""WITH {COHORT_SQL},
 cells AS ({cells_sql(PREDICTORS)}),
 ranked AS (SELECT *, row_number() OVER (ORDER BY {bits_sql(CELL_TEXT)}, concat(row_id, ':', col)) AS rn FROM cells)
-SELECT row_id, col AS "column", 'validity' AS dimension,
-  CASE WHEN col IN {_in(COHORT.categorical)} THEN {_choice(INVALID_CATEGORY, small_bits_sql(CELL_TEXT))}
-       WHEN col IN {_in(COHORT.flags)} AND {unit_sql(CELL_TEXT, 1)} >= 0.6
-         THEN {_choice(INVALID_FLAG, small_bits_sql(CELL_TEXT))}
-       ELSE {_choice(INVALID_TEXT, small_bits_sql(CELL_TEXT))} END AS token
+SELECT row_id, col AS "column", 'validity' AS dimension, {token_sql(SEED)} AS token
 FROM ranked
 WHERE rn <= (SELECT round_even({DENSITY}::DOUBLE * count(*) * {len(PREDICTORS)}, 0) FROM cohort)"""
 
-NOISE_TEXT = f"concat('{SEED}:', row_id, ':', col, ':noise')"
-
 
-def precision_sql(digits: int | None) -> str:
-    """The disturbed cohort, numbers rounded to ``digits`` if given."""
-    shown = [f"{rounded('flat.' + c, digits)} AS {c}" if digits else f"flat.{c}" for c in NUMERIC]
-    return f"""WITH {COHORT_SQL},
-cells AS ({cells_sql(NUMERIC)}),
-rated AS (SELECT *,
+def disturbed_sql(cells: str, seed: int) -> str:
+    """CTEs over long ``cells``: ``rated`` with the shares of the modes, ``keyed`` with the order of
+    the draw ``k`` and the value ``new`` that a drawn cell gets."""
+    text, noise = cell_text(seed), cell_text(seed, "noise")
+    return f"""rated AS (SELECT *,
     CASE WHEN col = 'quantity' THEN 0.3 WHEN col = 'price' AND num <> 0 THEN 0.3 ELSE 0.0 END::DOUBLE AS bias,
     CASE WHEN col IN {_in(COHORT.flags)} OR num <> 0 THEN 0.1 ELSE 0.0 END::DOUBLE AS impulse
-  FROM cells),
-keyed AS (SELECT *, -ln({unit_sql(CELL_TEXT)}) / (0.6::DOUBLE + bias + impulse) AS k,
-    {unit_sql(CELL_TEXT, 1)} * (0.6::DOUBLE + bias + impulse) AS mode,
-    sqrt(-2.0::DOUBLE * ln({unit_sql(NOISE_TEXT)})) * cos(2.0::DOUBLE * pi() * {unit_sql(NOISE_TEXT, 1)}) AS z,
+  FROM {cells}),
+drawn_modes AS (SELECT *, -ln({unit_sql(text)}) / (0.6::DOUBLE + bias + impulse) AS k,
+    {unit_sql(text, 1)} * (0.6::DOUBLE + bias + impulse) AS mode,
+    sqrt(-2.0::DOUBLE * ln({unit_sql(noise)})) * cos(2.0::DOUBLE * pi() * {unit_sql(noise, 1)}) AS z,
     CASE WHEN col = 'price' THEN 0.03 WHEN col IN {_in(COHORT.flags)} THEN 0.10 ELSE 0.05 END::DOUBLE AS cv
   FROM rated),
-ranked AS (SELECT *, row_number() OVER (ORDER BY k, concat(row_id, ':', col)) AS rn FROM keyed),
-hit AS (SELECT row_id, col, txt, CASE
-    WHEN rn > (SELECT round_even({DENSITY}::DOUBLE * count(*), 0) FROM cells) THEN num
+keyed AS (SELECT *, CASE
     WHEN mode < 0.6 THEN num + cv * (CASE WHEN num <> 0 THEN abs(num) ELSE 1.0 END)
                               * (CASE WHEN z < 0 THEN -1 ELSE 1 END) * greatest(abs(z), 1e-6)
     WHEN mode < 0.6::DOUBLE + bias THEN CASE WHEN col = 'quantity' THEN num + 1.0 ELSE num * 1.05 END
     WHEN col IN {_in(COHORT.flags)} THEN CASE WHEN num <> 0 THEN 0.0 ELSE 1.0 END
-    WHEN {small_bits_sql(NOISE_TEXT)} % 2 = 0 THEN num * 0.1 ELSE num * 10.0 END AS num
-  FROM ranked),
+    WHEN {small_bits_sql(noise)} % 2 = 0 THEN num * 0.1 ELSE num * 10.0 END AS new
+  FROM drawn_modes)"""
+
+
+def precision_sql(digits: int | None) -> str:
+    """The disturbed cohort, numbers rounded to ``digits`` if given."""
+    shown = [f"{rounded('flat.' + c, digits)} AS {c}" if digits else f"flat.{c}" for c in NUMERIC]
+    return f"""WITH {COHORT_SQL},
+cells AS ({cells_sql(NUMERIC)}),
+{disturbed_sql('cells', SEED)},
+ranked AS (SELECT *, row_number() OVER (ORDER BY k, concat(row_id, ':', col)) AS rn FROM keyed),
+hit AS (SELECT row_id, col, txt, CASE WHEN rn > (SELECT round_even({DENSITY}::DOUBLE * count(*), 0) FROM cells) THEN num ELSE new END AS num FROM ranked),
 flat AS ({wide_sql('hit')})
 SELECT row_id, {', '.join(shown)}, cohort.status
 FROM flat JOIN cohort USING (row_id)"""
 
 
-
-def _swap_sql() -> str:
+def swap_ctes(source: str, budget: str, seed: int) -> str:
+    """CTEs ending in ``swapped``: ``source`` with exchanged values and ``mate_c``, the column that a
+    swapped cell's value comes from."""
     flag_pairs = list(combinations(COHORT.flags, 2))
     options = []
     for a, b in COHORT.swaps:
-        u = unit_sql(f"concat('{SEED}:', row_id, ':{a}~{b}')")
-        options.append(f"SELECT row_id, '{a}' AS a, '{b}' AS b, -ln({u}) AS k FROM cohort WHERE {a} <> {b}")
+        u = unit_sql(f"concat('{seed}:', row_id, ':{a}~{b}')")
+        options.append(f"SELECT row_id, '{a}' AS a, '{b}' AS b, -ln({u}) AS k FROM {source} WHERE {a} <> {b}")
     flags = []
     for a, b in flag_pairs:
-        u = unit_sql(f"concat('{SEED}:', row_id, ':{a}~{b}')")
+        u = unit_sql(f"concat('{seed}:', row_id, ':{a}~{b}')")
         rate = f"{1.0 / len(flag_pairs)!r}::DOUBLE"
-        flags.append(f"SELECT row_id, '{a}' AS a, '{b}' AS b, -ln({u}) / {rate} AS k FROM cohort WHERE {a} <> {b}")
+        flags.append(f"SELECT row_id, '{a}' AS a, '{b}' AS b, -ln({u}) / {rate} AS k FROM {source} WHERE {a} <> {b}")
     picks = []
     for c in NUMERIC:
         mates = [m for p in [*COHORT.swaps, *flag_pairs] if c in p for m in p if m != c]
-        cases = " ".join(f"WHEN mate_{c} = '{m}' THEN {m}" for m in mates)
-        picks.append(f"CASE {cases} ELSE {c} END AS {c}")
+        cases = " ".join(f"WHEN mate_{c} = '{m}' THEN s.{m}" for m in mates)
+        picks.append(f"CASE {cases} ELSE s.{c} END AS {c}, mate_{c}")
     mates = ", ".join(
         f"max(CASE WHEN a = '{c}' THEN b WHEN b = '{c}' THEN a END) AS mate_{c}" for c in NUMERIC
     )
-    return f"""WITH {COHORT_SQL},
-flag_options AS ({' UNION ALL '.join(flags)}),
+    return f"""flag_options AS ({' UNION ALL '.join(flags)}),
 flag_first AS (SELECT * FROM flag_options QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY k, a, b) = 1),
 flag_second AS (
   SELECT o.* FROM flag_options o JOIN flag_first f USING (row_id)
   WHERE o.a NOT IN (f.a, f.b) AND o.b NOT IN (f.a, f.b)),
 options AS ({' UNION ALL '.join(options)} UNION ALL SELECT * FROM flag_first UNION ALL SELECT * FROM flag_second),
-fired AS (
-  SELECT * FROM options QUALIFY row_number() OVER (ORDER BY k, row_id, a, b)
-    <= (SELECT ceil(round_even({DENSITY}::DOUBLE * count(*) * {len(NUMERIC)}, 0) / 2.0) FROM cohort)),
-mates AS (SELECT row_id, {mates} FROM fired GROUP BY row_id)
-SELECT cohort.row_id, {', '.join(picks)}, status FROM cohort LEFT JOIN mates ON cohort.row_id = mates.row_id"""
+fired AS (SELECT * FROM options QUALIFY row_number() OVER (ORDER BY k, row_id, a, b) <= {budget}),
+mates AS (SELECT row_id, {mates} FROM fired GROUP BY row_id),
+swapped AS (SELECT s.row_id, {', '.join(picks)}, s.status FROM {source} s LEFT JOIN mates ON s.row_id = mates.row_id)"""
 
 
-def _row_text(tag: str) -> str:
-    return f"concat('{SEED}:', row_id, ':{tag}')"
+def _swap_sql() -> str:
+    budget = f"(SELECT ceil(round_even({DENSITY}::DOUBLE * count(*) * {len(NUMERIC)}, 0) / 2.0) FROM cohort)"
+    return f"WITH {COHORT_SQL}, {swap_ctes('cohort', budget, SEED)} SELECT row_id, {', '.join(NUMERIC)}, status FROM swapped"
+
+
+def chain_sql(pairs: str, name: str) -> str:
+    """CTEs ending in ``name(row_id, end_id)``: from donor to donor, as long as each was a target earlier."""
+    return f"""{name}_chain AS (
+  SELECT row_id, donor_id AS end_id, k, row_id AS last, 0 AS hops FROM {pairs}
+  UNION ALL
+  SELECT c.row_id, n.donor_id, n.k, n.row_id, c.hops + 1 FROM {name}_chain c
+  JOIN {pairs} n ON n.row_id = c.end_id AND (n.k < c.k OR (n.k = c.k AND n.row_id < c.last))),
+{name} AS (SELECT row_id, arg_max(end_id, hops) AS end_id FROM {name}_chain GROUP BY row_id)"""
 
 
 def copies_sql(source: str, budget: str, seed: int, predictors: list[str], donor: str) -> str:
-    """CTEs ending in ``pairs(row_id, donor_id)`` for record copies over ``source``."""
+    """CTEs ending in ``pairs(row_id, donor_id, k, end_id)`` for record copies over ``source``; they
+    need WITH RECURSIVE. A donor that was overwritten earlier hands on what it then holds."""
 
     def text(tag: str) -> str:
         return f"concat('{seed}:', row_id, ':{tag}')"
@@ -199,20 +224,24 @@ targets AS (
   SELECT *, {unit_sql(text('copy'))} AS k, {bits_sql(text('donor'))} AS draw,
          CASE WHEN {unit_sql(text('copy'), 1)} < 1.0::DOUBLE / 3.0 THEN 'upper' ELSE 'all' END AS tpool
   FROM {source}),
-paired AS (
-  SELECT t.row_id, d.row_id AS donor_id, t.k, {changed} AS n_changed
+drawn AS (
+  SELECT t.row_id, d.row_id AS donor_id, t.k
   FROM targets t JOIN sizes s ON s.pool = t.tpool
   JOIN donors d ON d.pool = t.tpool AND d.ordinal = t.draw % s.size
   WHERE t.row_id <> d.row_id),
+{chain_sql('drawn', 'ends')},
+paired AS (
+  SELECT w.*, e.end_id, {changed} AS n_changed
+  FROM drawn w JOIN ends e USING (row_id) JOIN {source} t USING (row_id) JOIN {source} d ON d.row_id = e.end_id),
 running AS (
   SELECT *, sum(n_changed) OVER (ORDER BY k, row_id) - n_changed AS earlier FROM paired WHERE n_changed > 0),
-pairs AS (SELECT row_id, donor_id FROM running WHERE earlier < {budget})"""
+pairs AS (SELECT row_id, donor_id, k, end_id FROM running WHERE earlier < {budget})"""
 
 
-UNIQUENESS_SQL = f"""WITH {COHORT_SQL},
+UNIQUENESS_SQL = f"""WITH RECURSIVE {COHORT_SQL},
 {copies_sql('cohort', f'(SELECT round_even({DENSITY}::DOUBLE * count(*) * {len(PREDICTORS)}, 0) FROM cohort)', SEED, PREDICTORS, 'price')}
-SELECT c.row_id, {', '.join(f'CASE WHEN p.donor_id IS NULL THEN c.{x} ELSE d.{x} END AS {x}' for x in PREDICTORS)}
-FROM cohort c LEFT JOIN pairs p ON c.row_id = p.row_id LEFT JOIN cohort d ON d.row_id = p.donor_id"""
+SELECT c.row_id, {', '.join(f'CASE WHEN p.end_id IS NULL THEN c.{x} ELSE d.{x} END AS {x}' for x in PREDICTORS)}
+FROM cohort c LEFT JOIN pairs p ON c.row_id = p.row_id LEFT JOIN cohort d ON d.row_id = p.end_id"""
 
 QUERIES = {
     "degrade_completeness": degrade_completeness,

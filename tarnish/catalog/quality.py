@@ -1,4 +1,4 @@
-"""Checks, arms, composites and the mixed model."""
+"""Checks, arms and the mixed model."""
 
 from __future__ import annotations
 
@@ -17,11 +17,11 @@ from tarnish.catalog.degradation import (
     precision_sql,
 )
 from tarnish.catalog.grid import DIMS, LEVELS, LOSS_SQL, MODELS, grid, grid_sql, lines
-from tarnish.operators import checks, composite, degrade, prep
-from tarnish.operators.cells import close_cells
+from tarnish.operators import checks, degrade, prep
 from tarnish.plans import arms
 from tarnish.plans import losses as L
 from tarnish.plans import mixed_model as MM
+from tarnish.session import staged
 
 MEASURES = COHORT.numeric
 DIMENSIONS = ["completeness", "coherence", "uniqueness", "validity", "precision"]
@@ -29,7 +29,7 @@ DIMENSIONS = ["completeness", "coherence", "uniqueness", "validity", "precision"
 
 def _pairs(spark: SparkSession, sf_dir: str, columns: list[str]) -> dict[str, DataFrame]:
     """Per dimension the clean and the degraded value of every cell, side by side."""
-    clean = cohort(spark, sf_dir)
+    clean = staged(cohort(spark, sf_dir))
     works = {d: degrade.OPERATORS[d](clean, COHORT, DENSITY, SEED).work for d in DIMENSIONS}
     return {d: checks.side_by_side(work, columns) for d, work in works.items()}
 
@@ -130,36 +130,6 @@ def best_worst_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("dimension", "model", "level", "replicate", F.round("price", 6).alias("price"))
 
 
-# ------------------------------------------------------------------ composites
-
-
-def composite_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = composite.cumulative_cells(cohort(spark, sf_dir), COHORT, 0.3, SEED)
-    return close_cells(work, COHORT, cohort(spark, sf_dir).columns).touched.groupBy("dimension", "column").agg(
-        F.count(F.lit(1)).alias("n_cells")
-    )
-
-
-def composite_duplast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composite.cumulative_copies_last(cohort(spark, sf_dir), COHORT, 0.3, SEED, completeness_repair=1 - 2 / 15).df
-
-
-def composite_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = composite.cumulative_copies_last_cells(cohort(spark, sf_dir), COHORT, 0.3, SEED, completeness_repair=1 - 2 / 15)
-    return composite.composite_stats(work, COHORT)
-
-
-def mixed_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per stratum of the mixed operator."""
-    df = composite.with_stratum(cohort(spark, sf_dir), COHORT, composite.OBSERVED_PROFILE, SEED)
-    return df.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def composite_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = composite.mixed(cohort(spark, sf_dir), COHORT, 0.3, SEED)
-    return out.touched.groupBy("dimension").agg(F.count(F.lit(1)).alias("n_cells"))
-
-
 # ----------------------------------------------------------------- mixed model
 
 
@@ -280,11 +250,6 @@ QUERIES = {
     "drift_guard": drift_guard,
     "expectations": expectations,
     "first_per_key": best_worst_level,
-    "composite_cumulative": composite_cumulative,
-    "composite_duplast": composite_duplast,
-    "composite_stats": composite_stats,
-    "mixed_strata": mixed_strata,
-    "composite_mixed": composite_mixed,
     "mixed_icc": mixed_icc,
     "mixed_icc_balanced": mixed_icc_balanced,
     "residual_skew": residual_skew,
@@ -344,11 +309,6 @@ v AS (SELECT concat_ws('/', model, level) AS claim_id, sum(n)::DOUBLE AS value F
 SELECT claim_id, expected, value, coalesce(expected = value, FALSE) AS ok, concat(expected, ' / ', coalesce(value::VARCHAR, 'absent')) AS detail FROM c LEFT JOIN v USING (claim_id)""",
     "first_per_key": f"""WITH {grid_sql()} SELECT dimension, model, level, replicate, round(price, 6) AS price FROM grid
   QUALIFY row_number() OVER (PARTITION BY dimension, model ORDER BY level, replicate) = 1""",
-    "mixed_strata": """WITH w AS (SELECT * FROM (VALUES (1, 'completeness', 0.685::DOUBLE), (2, 'coherence', 0.087::DOUBLE), (3, 'validity', 0.009::DOUBLE),
-    (4, 'precision', 0.128::DOUBLE), (5, 'uniqueness', 0.091::DOUBLE)) t(i, stratum, w)),
-raw AS (SELECT i, stratum, w / (SELECT sum(w) FROM w) * (SELECT count(*) FROM lineitem) AS x FROM w),
-base AS (SELECT *, floor(x) AS f, row_number() OVER (ORDER BY x - floor(x) DESC, i) AS rn FROM raw)
-SELECT stratum, (f + CASE WHEN rn <= (SELECT count(*) FROM lineitem) - (SELECT sum(f) FROM base) THEN 1 ELSE 0 END)::BIGINT AS n_rows FROM base""",
     "mixed_icc_balanced": f"""WITH {BALANCED_SQL} SELECT n AS n_rows, {N_FIXED} AS n_fixed, {rounded('su / (su + se)', 4)} AS icc,
   {rounded('su', 4)} AS sigma_u2, {rounded('se', 4)} AS sigma_e2 FROM comp""",
     "residual_skew_balanced": f"""WITH {BALANCED_SQL},

@@ -8,12 +8,14 @@ projections and the touched-cell list is one ``explode``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.operators.selection import Cut
+from tarnish.operators.selection import Cut, GroupedCut, cut_smallest, cut_smallest_by
 from tarnish.spec import TableSpec
 
 TOUCHED_SCHEMA = "row_id string, column string, dimension string, before string, after string"
@@ -28,6 +30,52 @@ class Degraded(NamedTuple):
     work: DataFrame | None = None
 
 
+class Share(NamedTuple):
+    """A budget: a share of the cells of a table, ``per_row`` of each row, or of the candidates.
+
+    Halves are rounded to even and at least one cell is asked for; ``whole`` drops fractions
+    instead and may come to nothing. ``pairs`` asks for half as many, rounded up.
+    """
+
+    density: float
+    per_row: int | None = None
+    whole: bool = False
+    pairs: bool = False
+
+    def number(self, total: int, n_rows: int | None) -> int:
+        if self.whole:
+            return int(self.density * n_rows * self.per_row)
+        cells = total if self.per_row is None else n_rows * self.per_row
+        n = max(1, min(round(self.density * cells), cells))
+        return -(-n // 2) if self.pairs else n
+
+    def column(self, total: Column) -> Column:
+        """The same for the groups of a table with a column ``n_rows``."""
+        density, n_rows = F.lit(self.density), F.col("n_rows")
+        if self.whole:
+            return F.floor(density * n_rows * F.lit(self.per_row))
+        cells = total if self.per_row is None else n_rows * F.lit(self.per_row)
+        n = F.greatest(F.lit(1), F.least(F.bround(density * cells), cells))
+        return F.ceil(n / 2) if self.pairs else n
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What a budget is a share of: a table of ``n_rows``, or every group of it by itself, with
+    ``sizes`` holding the groups and their ``n_rows``."""
+
+    n_rows: int | None = None
+    groups: tuple[str, ...] = ()
+    sizes: DataFrame | None = None
+
+    def cut(self, cells: DataFrame, share: Share | int | Callable[[int], int]) -> Cut | GroupedCut:
+        if self.groups:
+            return cut_smallest_by(cells, self.groups, share.column, self.sizes)
+        if isinstance(share, Share):
+            return cut_smallest(cells, lambda total: share.number(total, self.n_rows))
+        return cut_smallest(cells, share)
+
+
 def row_id(spec: TableSpec) -> Column:
     return F.concat_ws("-", *[F.col(c).cast("string") for c in spec.ids])
 
@@ -54,32 +102,32 @@ def cell_tie(c: str) -> Column:
     return F.concat(F.col("__row"), F.lit(":" + c))
 
 
-def candidates(work: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Long form (key, tie) of the cells that may be chosen; null keys are left out.
+def candidates(work: DataFrame, keys: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:
+    """Long form (groups, key, tie) of the cells that may be chosen; null keys are left out.
 
     The tie is built after the explode, so a pass that only counts keys never makes it.
     """
     cells = [F.struct(k.alias("key"), F.lit(c).alias("column")) for c, k in keys.items()]
     return (
-        work.select("__row", F.explode(F.array(*cells)).alias("cell"))
+        work.select(*groups, "__row", F.explode(F.array(*cells)).alias("cell"))
         .filter(F.col("cell.key").isNotNull())
-        .select("cell.key", F.concat("__row", F.lit(":"), "cell.column").alias("tie"))
+        .select(*groups, "cell.key", F.concat("__row", F.lit(":"), "cell.column").alias("tie"))
     )
 
 
 def write_cells(
-    work: DataFrame, cut: Cut, keys: dict[str, Column], values: dict[str, Column], dimension: str
+    work: DataFrame, cut: Cut | GroupedCut, keys: dict[str, Column], values: dict[str, Column], dimension: str
 ) -> DataFrame:
     """Put the new value and the tag into every cell the cut selects."""
-    # three projections, so that each key is hashed once and each hit decided once
-    keyed = work.withColumns({f"__key_{c}": k for c, k in keys.items()})
+    # three projections, so that each key is made once and each hit decided once
+    keyed = cut.attach(work).withColumns({f"__key_{c}": k for c, k in keys.items()})
     marked = keyed.withColumns({f"__hit_{c}": cut.keeps(F.col(f"__key_{c}"), cell_tie(c)) for c in keys})
     changed: dict[str, Column] = {}
     for c in keys:
         hit = F.col(f"__hit_{c}")
         changed[c] = F.when(hit, values[c]).otherwise(F.col(c))
         changed[f"__dim_{c}"] = F.when(hit, F.lit(dimension)).otherwise(F.col(f"__dim_{c}"))
-    return marked.withColumns(changed).drop(*[f"__{kind}_{c}" for c in keys for kind in ("key", "hit")])
+    return cut.detach(marked.withColumns(changed)).drop(*[f"__{kind}_{c}" for c in keys for kind in ("key", "hit")])
 
 
 def as_text(work: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,15 +1,18 @@
 """The five degradation operators, each a function (df, spec, density, seed) -> Degraded.
 
-Cell-level operators are two narrow passes over the table: one counts key intervals to
-find the exact-budget boundary, the other rewrites cells with a literal predicate. No
-shuffle carries the table itself. Only record copies need a join.
+Cell-level operators write the working table once with a uniform per cell, count key intervals
+to find the exact-budget boundary, and rewrite cells with a literal predicate. No shuffle
+carries the table itself. Only record copies need a join.
+
+With ``groups`` an operator works on every group of rows by itself, all groups in one plan: the
+seed may then be a column, and boundaries are a table with a row per group.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 from typing import Protocol
 
@@ -27,6 +30,8 @@ from tarnish.functions.hashing import (
 )
 from tarnish.operators.cells import (
     Degraded,
+    Scope,
+    Share,
     as_text,
     candidates,
     close_cells,
@@ -35,8 +40,8 @@ from tarnish.operators.cells import (
     open_cells,
     write_cells,
 )
-from tarnish.operators.ordering import column_quantiles, number_rows
-from tarnish.operators.selection import cut_smallest
+from tarnish.operators.ordering import column_quantiles, grouped_quantiles, number_rows
+from tarnish.operators.selection import Cut, GroupedCut
 from tarnish.session import staged
 from tarnish.spec import INVALID_FLAG, INVALID_TEXT, TableSpec
 
@@ -58,9 +63,25 @@ def check_density(density: float) -> None:
         raise ValueError("density must lie in [0, 1]")
 
 
-def at_least_one(share: float, cells: int) -> int:
-    """Round half to even, at least one cell, at most all of them."""
-    return max(1, min(round(share * cells), cells))
+def draws(columns: Sequence[str], seed: int | Column, *purpose: str) -> dict[str, Column]:
+    """One uniform per cell."""
+    return {c: unit(wide_bits(digest(seed, F.col("__row"), c, *purpose))) for c in columns}
+
+
+def holding(work: DataFrame, **uniforms: Mapping[str, Column]) -> DataFrame:
+    """The working table with columns ``__u_name_c``, written once: boundaries are found and cells
+    written from stored uniforms, and no cell is hashed twice."""
+    return staged(work.withColumns({f"__u_{name}_{c}": u for name, cells in uniforms.items() for c, u in cells.items()}))
+
+
+def held(columns: Sequence[str], name: str) -> dict[str, Column]:
+    return {c: F.col(f"__u_{name}_{c}") for c in columns}
+
+
+def scope_of(work: DataFrame, groups: Sequence[str] = ()) -> Scope:
+    if not groups:
+        return Scope(work.count())
+    return Scope(None, tuple(groups), staged(work.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"))))
 
 
 # ---------------------------------------------------------------- completeness
@@ -73,24 +94,18 @@ def severity_weight(spec: TableSpec) -> Column:
     return F.when(F.col(f"__was_{spec.severity}") == 1, F.lit(SEVERE)).otherwise(F.lit(MILD))
 
 
-def completeness_keys(spec: TableSpec, seed: int) -> dict[str, Column]:
+def missing_keys(spec: TableSpec, uniforms: Mapping[str, Column]) -> dict[str, Column]:
     weight = severity_weight(spec)
-    return {
-        c: F.when(
-            free(c) & F.col(c).isNotNull(),
-            exponential_rank(unit(wide_bits(digest(seed, F.col("__row"), c))), weight, MILD),
-        )
-        for c in spec.predictors
-    }
+    return {c: F.when(free(c) & F.col(c).isNotNull(), exponential_rank(uniforms[c], weight, MILD)) for c in spec.predictors}
 
 
-def mark_missing(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> DataFrame:
-    keys = completeness_keys(spec, seed)
-    cut = cut_smallest(candidates(work, keys), budget)
+def mark_missing(work: DataFrame, spec: TableSpec, share: Share | int, uniforms: Mapping[str, Column], scope: Scope) -> DataFrame:
+    keys = missing_keys(spec, uniforms)
+    cut = scope.cut(candidates(work, keys, scope.groups), share)
     return write_cells(work, cut, keys, {c: F.lit(None) for c in keys}, "completeness")
 
 
-def completeness(df: DataFrame, spec: TableSpec, density: float, seed: int = 0) -> Degraded:
+def completeness(df: DataFrame, spec: TableSpec, density: float, seed: int | Column = 0, groups: Sequence[str] = ()) -> Degraded:
     """Null out a share of the cells, severe rows first in line.
 
     The budget is ``int(density * rows * predictors)`` and is capped at the cells that
@@ -99,9 +114,10 @@ def completeness(df: DataFrame, spec: TableSpec, density: float, seed: int = 0)
     check_density(density)
     if density == 0.0:
         return nothing_touched(df)
-    work = open_cells(df, spec)
-    budget = int(density * df.count() * len(spec.predictors))
-    return close_cells(mark_missing(work, spec, budget, seed), spec, df.columns)
+    preds = spec.predictors
+    work = holding(open_cells(df, spec), own=draws(preds, seed))
+    share = Share(density, len(preds), whole=True)
+    return close_cells(mark_missing(work, spec, share, held(preds, "own"), scope_of(work, groups)), spec, df.columns)
 
 
 # -------------------------------------------------------------------- validity
@@ -119,15 +135,17 @@ def validity_token(spec: TableSpec, c: str, seed: int, kinds: Mapping[str, float
     return F.when(is_typing, text).otherwise(pick(small_bits(hexed), INVALID_FLAG))
 
 
-def validity_keys(spec: TableSpec, seed: int) -> dict[str, Column]:
-    return {c: F.when(free(c), unit(wide_bits(digest(seed, F.col("__row"), c)))) for c in spec.predictors}
-
-
 def mark_invalid(
-    work: DataFrame, spec: TableSpec, budget: int, seed: int, kinds: Mapping[str, float] = VALIDITY_KINDS
+    work: DataFrame,
+    spec: TableSpec,
+    share: Share | int,
+    uniforms: Mapping[str, Column],
+    scope: Scope,
+    seed: int | Column,
+    kinds: Mapping[str, float] = VALIDITY_KINDS,
 ) -> DataFrame:
-    keys = validity_keys(spec, seed)
-    cut = cut_smallest(candidates(work, keys), budget)
+    keys = {c: F.when(free(c), uniforms[c]) for c in spec.predictors}
+    cut = scope.cut(candidates(work, keys, scope.groups), share)
     values = {c: validity_token(spec, c, seed, kinds) for c in keys}
     return write_cells(as_text(work, spec.predictors), cut, keys, values, "validity")
 
@@ -136,7 +154,8 @@ def validity(
     df: DataFrame,
     spec: TableSpec,
     density: float,
-    seed: int = 42,
+    seed: int | Column = 42,
+    groups: Sequence[str] = (),
     kinds: Mapping[str, float] = VALIDITY_KINDS,
 ) -> Degraded:
     """Overwrite a share of the cells with tokens outside their column's domain.
@@ -147,8 +166,10 @@ def validity(
     check_density(density)
     if density == 0.0:
         return nothing_touched(df)
-    budget = at_least_one(density, df.count() * len(spec.predictors))
-    return close_cells(mark_invalid(open_cells(df, spec), spec, budget, seed, kinds), spec, df.columns)
+    preds = spec.predictors
+    work = holding(open_cells(df, spec), own=draws(preds, seed))
+    marked = mark_invalid(work, spec, Share(density, len(preds)), held(preds, "own"), scope_of(work, groups), seed, kinds)
+    return close_cells(marked, spec, df.columns)
 
 
 # ------------------------------------------------------------------- precision
@@ -173,19 +194,18 @@ def _mode_shares(spec: TableSpec, c: str) -> tuple[Column, Column]:
     return bias, impulse
 
 
-def precision_keys(spec: TableSpec, seed: int) -> dict[str, Column]:
+def precision_keys(spec: TableSpec, uniforms: Mapping[str, Column]) -> dict[str, Column]:
     """A draw that would leave its cell unchanged is redrawn elsewhere, so cells are
     taken in proportion to the share of modes that do change them."""
     keys = {}
     for c in spec.numeric:
         bias, impulse = _mode_shares(spec, c)
         weight = F.lit(MODE_SHARES["noise"]) + bias + impulse
-        u = unit(wide_bits(digest(seed, F.col("__row"), c)))
-        keys[c] = F.when(free(c) & _stays_finite(c), exponential_rank(u, weight, MODE_SHARES["noise"]))
+        keys[c] = F.when(free(c) & _stays_finite(c), exponential_rank(uniforms[c], weight, MODE_SHARES["noise"]))
     return keys
 
 
-def precision_value(spec: TableSpec, c: str, seed: int) -> Column:
+def precision_value(spec: TableSpec, c: str, seed: int | Column) -> Column:
     """New value of a chosen cell; the mode is drawn among those that change it."""
     x = F.col(c)
     bias_share, impulse_share = _mode_shares(spec, c)
@@ -206,25 +226,28 @@ def precision_value(spec: TableSpec, c: str, seed: int) -> Column:
     return F.when(mode < noise_share, noisy).when(mode < noise_share + bias_share, biased).otherwise(jolted)
 
 
-def mark_imprecise(work: DataFrame, spec: TableSpec, budget, seed: int) -> DataFrame:
-    keys = precision_keys(spec, seed)
-    cut = cut_smallest(candidates(work, keys), budget)
+def mark_imprecise(
+    work: DataFrame, spec: TableSpec, share: Share | int, uniforms: Mapping[str, Column], scope: Scope, seed: int | Column
+) -> DataFrame:
+    keys = precision_keys(spec, uniforms)
+    cut = scope.cut(candidates(work, keys, scope.groups), share)
     return write_cells(work, cut, keys, {c: precision_value(spec, c, seed) for c in keys}, "precision")
 
 
-def precision(df: DataFrame, spec: TableSpec, density: float, seed: int = 42) -> Degraded:
+def precision(df: DataFrame, spec: TableSpec, density: float, seed: int | Column = 42, groups: Sequence[str] = ()) -> Degraded:
     """Disturb a share of the finite numeric cells by noise, bias or an impulse."""
     check_density(density)
     if density == 0.0:
         return nothing_touched(df)
-    work = mark_imprecise(open_cells(df, spec), spec, lambda valid: at_least_one(density, valid), seed)
-    return close_cells(work, spec, df.columns)
+    work = holding(open_cells(df, spec), own=draws(spec.numeric, seed))
+    marked = mark_imprecise(work, spec, Share(density), held(spec.numeric, "own"), scope_of(work, groups), seed)
+    return close_cells(marked, spec, df.columns)
 
 
 # ------------------------------------------------------------------- coherence
 
 
-def with_swaps(work: DataFrame, spec: TableSpec, seed: int) -> DataFrame:
+def with_swaps(work: DataFrame, spec: TableSpec, seed: int | Column) -> DataFrame:
     """Add ``__swaps``: the row's possible swaps, disjoint, in the order they would fire.
 
     A rule is possible when both cells are free, present and different. Any two flags
@@ -269,12 +292,21 @@ def with_swaps(work: DataFrame, spec: TableSpec, seed: int) -> DataFrame:
     return work.withColumn("__swaps", F.when(F.size("__options") > 0, kept)).drop("__options")
 
 
-def mark_swapped(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> DataFrame:
-    listed = with_swaps(work, spec, seed)
+def mark_swapped(listed: DataFrame, spec: TableSpec, share: Share | int, scope: Scope) -> DataFrame:
+    """Exchange the cells of the drawn swaps; ``listed`` comes from :func:`with_swaps`."""
+    return fire_swaps(listed, spec, scope.cut(swap_keys(listed, scope.groups), share))
+
+
+def swap_keys(listed: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Long form (groups, key, tie) of the possible swaps."""
     # the outer form adds no emptiness filter, which would compute the swaps a second time
-    options = listed.select(F.explode_outer("__swaps").alias("s")).select("s.key", "s.tie")
-    cut = cut_smallest(options, math.ceil(budget / 2))
-    fired = listed.withColumn("__swaps", F.filter("__swaps", lambda s: cut.keeps(s["key"], s["tie"])))
+    return listed.select(*groups, F.explode_outer("__swaps").alias("s")).select(*groups, "s.key", "s.tie")
+
+
+def fire_swaps(listed: DataFrame, spec: TableSpec, cut: Cut | GroupedCut) -> DataFrame:
+    """Exchange the cells of the swaps that a boundary selects."""
+    fired = cut.attach(listed).withColumn("__swaps", F.filter("__swaps", lambda s: cut.keeps(s["key"], s["tie"])))
+    fired = cut.detach(fired)
     partners: dict[str, list[str]] = {}
     for a, b in [*spec.swaps, *combinations(spec.flags, 2)]:
         partners.setdefault(a, []).append(b)
@@ -297,7 +329,7 @@ def mark_swapped(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> Da
     return named.withColumns(changed).drop("__swaps", "__moves", *[f"__mate_{c}" for c in partners])
 
 
-def coherence(df: DataFrame, spec: TableSpec, density: float, seed: int = 42) -> Degraded:
+def coherence(df: DataFrame, spec: TableSpec, density: float, seed: int | Column = 42, groups: Sequence[str] = ()) -> Degraded:
     """Exchange values between related columns of a row until the budget is used.
 
     Each cell moves at most once and always into a column with a compatible range; the
@@ -306,96 +338,132 @@ def coherence(df: DataFrame, spec: TableSpec, density: float, seed: int = 42) ->
     check_density(density)
     if density == 0.0:
         return nothing_touched(df)
-    budget = at_least_one(density, df.count() * len(spec.numeric))
-    return close_cells(mark_swapped(open_cells(df, spec), spec, budget, seed), spec, df.columns)
+    listed = staged(with_swaps(open_cells(df, spec), spec, seed))
+    share = Share(density, len(spec.numeric), pairs=True)
+    return close_cells(mark_swapped(listed, spec, share, scope_of(listed, groups)), spec, df.columns)
 
 
 # ------------------------------------------------------------------ uniqueness
 
 
-def one_per_id(work: DataFrame) -> tuple[DataFrame, int]:
-    """One row of each id, and their number: copies are drawn and joined by id, so rows that share
-    one are drawn once and overwritten together."""
-    n_rows, n_ids = work.agg(F.count(F.lit(1)), F.count_distinct("__row")).first()
-    return (work if n_ids == n_rows else work.dropDuplicates(["__row"])), n_ids
+def follow_donors(pairs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Add ``__end`` to (target ``__row``, ``__donor``, ``key``): the record whose values a target gets.
+
+    Targets are overwritten in the order of their keys. A donor that is a target with a smaller
+    key holds what it got itself, so the chain goes on from there; otherwise it still holds its
+    own values. Every round lets each open target jump as far as the one it points to does, so
+    the rounds are the logarithm of the longest chain.
+    """
+    g = list(groups)
+    base = pairs.select(*g, "__row", "__donor", "key")
+    met = base.select(*g, F.col("__row").alias("__donor"), F.col("key").alias("__when"))
+    earlier = (F.col("__when") < F.col("key")) | ((F.col("__when") == F.col("key")) & (F.col("__donor") < F.col("__row")))
+    at = base.join(met, [*g, "__donor"], "left").select(
+        *g, "__row", F.col("__donor").alias("__end"), F.coalesce(earlier, F.lit(False)).alias("__open")
+    )
+    at = staged(at)
+    while not at.filter("__open").isEmpty():
+        ahead = at.select(*g, F.col("__row").alias("__end"), F.col("__end").alias("__to"), F.col("__open").alias("__on"))
+        moved = at.filter("__open").join(ahead, [*g, "__end"]).select(*g, "__row", F.col("__to").alias("__end"), F.col("__on").alias("__open"))
+        at = staged(at.filter("not __open").unionByName(moved))
+    return pairs.join(at.drop("__open"), [*g, "__row"])
 
 
-def draw_copies(work: DataFrame, spec: TableSpec, budget: int, seed: int) -> DataFrame:
-    """Pairs (target, donor, key, n_changed) whose changed cells use up the budget.
+def draw_copies(work: DataFrame, spec: TableSpec, share: Share | int, seed: int | Column, groups: Sequence[str] = ()) -> DataFrame:
+    """Pairs (groups, target ``__row``, ``__donor``, ``key``, ``__end``, ``n_changed``) whose changed
+    cells use up the budget.
 
     Every row is a possible target with one drawn donor: one time in three from the
     records at or above the donor column's quantile, else from all records. Donors are
-    found by their number in a hash order. A row that would not change is no target.
+    found by their number in a hash order, numbered without their values. A donor that was
+    overwritten earlier hands on what it then holds (:func:`follow_donors`). A row that would not
+    change is no target. Rows that share an id are drawn once and overwritten together.
     """
-    preds = spec.predictors
-    rows, n_rows = one_per_id(work.select("__row", *preds))
-    pools, sizes = [F.lit("all")], {"all": n_rows}
-    if spec.donor_column is not None:
-        threshold = column_quantiles(rows, [spec.donor_column], [spec.donor_quantile])[spec.donor_column][0]
-        if threshold is not None:
-            eligible = F.col(spec.donor_column) >= F.lit(threshold)
-            sizes["upper"] = rows.filter(eligible).count()
-            pools.append(F.when(eligible, F.lit("upper")))
-    donors = rows.select(
-        F.explode(F.array_compact(F.array(*pools))).alias("__pool"),
-        wide_bits(digest(seed, F.col("__row"), "donor-order")).alias("__bits"),
+    preds, g = spec.predictors, list(groups)
+    pooled = spec.donor_column is not None
+    value = F.col(spec.donor_column).alias("__value") if pooled else F.lit(None).cast("double").alias("__value")
+    # a seed that is a column lies in the table; it is the same for all rows of a group
+    seeded = F.lit(seed).cast("string") if not isinstance(seed, Column) else seed.cast("string")
+    rows = staged(work.select(*g, "__row", value, seeded.alias("__seed")).dropDuplicates([*g, "__row"]))
+    own = F.col("__seed")
+    if g:
+        edges = grouped_quantiles(rows, g, "__value", {"__edge": spec.donor_quantile}) if pooled else None
+        marked = rows.join(edges, g) if pooled else rows.withColumn("__edge", F.lit(None).cast("double"))
+    else:
+        edge = column_quantiles(rows, ["__value"], [spec.donor_quantile])["__value"][0] if pooled else None
+        marked = rows.withColumn("__edge", F.lit(edge).cast("double"))
+    upper = F.when(F.col("__value") >= F.col("__edge"), F.lit("upper"))
+    donors = marked.select(
+        *g,
+        F.explode(F.array_compact(F.array(F.lit("all"), upper))).alias("__pool"),
+        wide_bits(digest(own, F.col("__row"), "donor-order")).alias("__bits"),
         F.col("__row").alias("__donor"),
-        *[F.col(c).alias(f"__d_{c}") for c in preds],
     )
-    donors = number_rows(donors, ["__pool"], "__bits", "__donor")
-    own = digest(seed, F.col("__row"), "copy")
-    upper = (unit(wide_bits(own, 1)) < F.lit(1.0 / 3.0)) if sizes.get("upper") else F.lit(False)
-    pool = F.when(upper, F.lit("upper")).otherwise(F.lit("all"))
-    size = F.when(upper, F.lit(sizes.get("upper", 1))).otherwise(F.lit(n_rows))
-    targets = rows.select(
-        "*",
-        unit(wide_bits(own)).alias("key"),
-        pool.alias("__tpool"),
-        F.pmod(wide_bits(digest(seed, F.col("__row"), "donor")), size).alias("__pick"),
+    donors = staged(number_rows(staged(donors), [*g, "__pool"], "__bits", "__donor").drop("__bits"))
+    sizes = donors.filter("ordinal = 0").groupBy(*g).agg(
+        F.max(F.when(F.col("__pool") == "all", F.col("n_ordinal"))).alias("n_rows"),
+        F.max(F.when(F.col("__pool") == "upper", F.col("n_ordinal"))).alias("__n_upper"),
     )
-    n_changed = sum(F.when(F.col(c).eqNullSafe(F.col(f"__d_{c}")), 0).otherwise(1) for c in preds)
-    paired = (
-        targets.join(donors, (F.col("__tpool") == F.col("__pool")) & (F.col("__pick") == F.col("ordinal")))
-        .filter(F.col("__row") != F.col("__donor"))
-        .select("__row", "__donor", "key", n_changed.alias("n_changed"))
-        .filter(F.col("n_changed") > 0)
+    sizes = staged(sizes)
+    if g:
+        scope, sized = Scope(None, tuple(g), sizes.drop("__n_upper")), rows.join(sizes, g)
+    else:
+        counts = sizes.first()
+        scope = Scope(counts["n_rows"] or 0)
+        sized = rows.withColumns({"n_rows": F.lit(counts["n_rows"] or 1), "__n_upper": F.lit(counts["__n_upper"]).cast("long")})
+    drawn = digest(own, F.col("__row"), "copy")
+    from_upper = (unit(wide_bits(drawn, 1)) < F.lit(1.0 / 3.0)) & F.col("__n_upper").isNotNull()
+    size = F.when(from_upper, F.col("__n_upper")).otherwise(F.col("n_rows"))
+    targets = sized.select(
+        *g,
+        "__row",
+        unit(wide_bits(drawn)).alias("key"),
+        F.when(from_upper, F.lit("upper")).otherwise(F.lit("all")).alias("__pool"),
+        F.pmod(wide_bits(digest(own, F.col("__row"), "donor")), size).alias("ordinal"),
     )
-    pairs = staged(paired)
-    ranked = pairs.select("key", F.col("__row").alias("tie"), F.col("n_changed").alias("amount"))
-    cut = cut_smallest(ranked, budget)
-    return pairs.filter(cut.keeps(F.col("key"), F.col("__row")))
-
-
-def apply_copies(work: DataFrame, spec: TableSpec, pairs: DataFrame, with_tags: bool = False) -> DataFrame:
-    """Overwrite each target's predictors with its donor's as they stand in ``work``."""
-    preds = spec.predictors
+    paired = targets.join(donors, [*g, "__pool", "ordinal"]).filter(F.col("__row") != F.col("__donor"))
+    paired = follow_donors(staged(paired.select(*g, "__row", "__donor", "key")), g)
+    values = work.select(*g, "__row", F.struct(*preds).alias("__own")).dropDuplicates([*g, "__row"])
+    ends = values.select(*g, F.col("__row").alias("__end"), F.col("__own").alias("__got"))
+    n_changed = sum(F.when(F.col(f"__own.{c}").eqNullSafe(F.col(f"__got.{c}")), 0).otherwise(1) for c in preds)
+    weighed = paired.join(ends, [*g, "__end"]).join(values, [*g, "__row"])
+    pairs = staged(weighed.select(*g, "__row", "__donor", "key", "__end", n_changed.cast("long").alias("n_changed")).filter("n_changed > 0"))
+    ranked = pairs.select(*g, "key", F.col("__row").alias("tie"), F.col("n_changed").alias("amount"))
+    cut = scope.cut(ranked, share)
+    return cut.detach(cut.attach(pairs).filter(cut.keeps(F.col("key"), F.col("__row"))))
+
+
+def apply_copies(work: DataFrame, spec: TableSpec, pairs: DataFrame, with_tags: bool = False, groups: Sequence[str] = ()) -> DataFrame:
+    """Overwrite each target's predictors with those of the record at the end of its donor chain, as
+    that stands in ``work``."""
+    preds, g = spec.predictors, list(groups)
     carried = [*preds, *([f"__dim_{c}" for c in preds] if with_tags else [])]
-    source = work.select(F.col("__row").alias("__src"), *[F.col(c).alias(f"__d_{c}") for c in carried])
+    source = work.select(*g, F.col("__row").alias("__end"), *[F.col(c).alias(f"__d_{c}") for c in carried])
     fetched = (
-        pairs.select(F.col("__row").alias("__target"), F.col("__donor").alias("__src"))
-        .join(source.dropDuplicates(["__src"]), "__src")
-        .withColumnRenamed("__src", "__from")
+        pairs.select(*g, "__row", F.col("__donor").alias("__from"), "__end")
+        .join(source.dropDuplicates([*g, "__end"]), [*g, "__end"])
+        .drop("__end")
     )
-    hit = F.col("__target").isNotNull()
-    joined = work.join(fetched, work["__row"] == fetched["__target"], "left")
+    joined = work.join(fetched, [*g, "__row"], "left")
+    hit = F.col("__from").isNotNull()
     changed = {c: F.when(hit, F.col(f"__d_{c}")).otherwise(F.col(c)) for c in carried}
     for c in preds:
         changed[f"__cpy_{c}"] = hit & ~F.col(f"__was_{c}").cast("string").eqNullSafe(
             F.col(f"__d_{c}").cast("string")
         )
     changed["__donor"] = F.col("__from")
-    return joined.withColumns(changed).drop("__target", "__from", *[f"__d_{c}" for c in carried])
+    return joined.withColumns(changed).drop("__from", *[f"__d_{c}" for c in carried])
 
 
-def uniqueness(df: DataFrame, spec: TableSpec, density: float, seed: int = 42) -> Degraded:
-    """Overwrite records with copies of other records until the budget of changed cells."""
+def uniqueness(df: DataFrame, spec: TableSpec, density: float, seed: int | Column = 42, groups: Sequence[str] = ()) -> Degraded:
+    """Overwrite records, in the order of their keys, with copies of other records as these then
+    stand, until the budget of changed cells."""
     check_density(density)
     if density == 0.0:
         return nothing_touched(df)
-    work = open_cells(df, spec)
-    budget = at_least_one(density, df.count() * len(spec.predictors))
-    pairs = draw_copies(work, spec, budget, seed)
-    return close_cells(apply_copies(work, spec, pairs), spec, df.columns)
+    work = staged(open_cells(df, spec))
+    pairs = draw_copies(work, spec, Share(density, len(spec.predictors)), seed, groups)
+    return close_cells(apply_copies(work, spec, pairs, groups=groups), spec, df.columns)
 
 
 OPERATORS: dict[str, DegradationOp] = {

@@ -1,6 +1,12 @@
 """The driver contract."""
 
+import pytest
+
 import __spark_entry__ as entry_point
+from tarnish.catalog.registry import ORACLES, QUERIES
+from tarnish.session import drop_staged
+
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_contract(spark):
@@ -9,3 +15,16 @@ def test_contract(spark):
     df = entry_point.entry(spark)
     assert df.columns == ["metric", "dimension", "kind", "family"]
     assert df.count() == 20
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plans(spark, name):
+    """Every query can be planned, and names its columns once."""
+    df = QUERIES[name](spark, SF_DIR)
+    assert len(set(df.columns)) == len(df.columns) > 0
+    df.explain("simple")
+    drop_staged(spark)
+
+
+def test_oracles():
+    assert set(ORACLES) <= set(QUERIES)
