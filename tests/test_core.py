@@ -10,6 +10,7 @@ from tarnish.functions.hashing import HASH_SETTING, digest, gaussian, pick, smal
 from tarnish.functions.tails import erfc, two_sided_p
 from tarnish.operators import ordering
 from tarnish.operators.selection import cut_smallest
+from tarnish.session import METHOD_LIMIT, split_methods, staged, staged_alone
 
 
 @pytest.mark.parametrize("name", ["md5", "xxhash64"])
@@ -120,3 +121,27 @@ def test_column_quantiles_are_exact(spark):
     got = ordering.column_quantiles(df, ["a", "b", "c"], probs)
     want = df.agg(F.percentile("a", F.lit(probs)), F.percentile("b", F.lit(probs))).collect()[0]
     assert got["a"] == pytest.approx(want[0]) and got["b"] == pytest.approx(want[1]) and got["c"] == [None] * 6
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    made = []
+
+    def make():
+        made.extend(staged(spark.range(5)).inputFiles())
+        return spark.read.parquet(*made).selectExpr("id + 1 AS id")
+
+    out = staged_alone(spark, make)
+    assert sorted(r["id"] for r in out.collect()) == [1, 2, 3, 4, 5]
+    path = spark._jvm.org.apache.hadoop.fs.Path(made[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_long_methods_are_split(spark):
+    before = spark.conf.get(METHOD_LIMIT)
+    try:
+        for limit, wanted in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(METHOD_LIMIT, limit)
+            split_methods(spark)
+            assert spark.conf.get(METHOD_LIMIT) == wanted
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
