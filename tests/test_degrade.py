@@ -190,6 +190,23 @@ def test_partial_repair_restores_values(icu):
     assert sum(r["dimension"] == "completeness" for r in cells) == k - len(repaired)
 
 
+def test_composites_hold_only_uniforms_in_reach(icu, monkeypatch):
+    """A uniform that no boundary can reach is not written; should too few be left, all are drawn again."""
+    n = icu.count()
+    target = composite._budgets(0.1, composite.OBSERVED_PROFILE, n, P)
+    work = composite._prepared(composite.open_cells(icu, ICU_COHORT), ICU_COHORT, target, 5, n)
+    held = work.select(*[F.count(f"__u_validity_{c}").alias(c) for c in ICU_COHORT.predictors]).first()
+    assert target["validity"] <= sum(held) < n * P / 10
+
+    def rows():
+        work = composite.cumulative_copies_last_cells(icu, ICU_COHORT, 0.1, 5, completeness_repair=0.5)
+        return sorted(map(str, work.select("__row", *ICU_COHORT.predictors, *[f"__dim_{c}" for c in ICU_COHORT.predictors]).collect()))
+
+    usual = rows()
+    monkeypatch.setattr(composite, "SLACK", 0.1)
+    assert rows() == usual
+
+
 def test_scenarios(icu):
     df = icu.withColumn("split", F.when(F.col("stay_id") % 3 == 0, "test").otherwise("train"))
     for scenario, sides in (("S1", {"train"}), ("S2", {"test"}), ("S3", {"train", "test"})):
