@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ SEED_IMPUTE_TRAIN = 20_000
 SEED_IMPUTE_TEST = 30_000
 SEED_DEGRADE_TRAIN = 40_000
 SEED_DEGRADE_TEST = 50_000
+#: Draws of a bootstrap that one task makes and counts.
+DRAWS_PER_TASK = 250_000
 
 
 def key_of(ids: Sequence[str]) -> Column:
@@ -50,6 +53,8 @@ def bootstrap(
     rows = df.select(key_of(ids).alias("row_id"), cls.alias("stratum"))
     rows = rows.withColumn("__bits", wide_bits(digest(seed, F.col("row_id"), "order")))
     numbered = number_rows(rows, ["stratum"], "__bits", "row_id", rows_per_bucket=rows_per_bucket)
+    # every row becomes one per replicate, and a task counts what it draws: so dealt out anew by a fixed number
+    numbered = numbered.repartition(max(1, math.ceil(df.count() * replicates / DRAWS_PER_TASK)), "stratum", "ordinal")
     every = numbered.select(
         "row_id", "stratum", "ordinal", "n_ordinal", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     )

@@ -63,6 +63,14 @@ def test_bootstrap(icu, rows_per_bucket):
     assert 0.3 < share < 0.44 and resample.usable_replicates(split).count() == 4
 
 
+def test_bootstrap_deals_out_its_draws(icu, monkeypatch):
+    usual = sorted(map(tuple, resample.bootstrap(icu, IDS, 3).collect()))
+    monkeypatch.setattr(resample, "DRAWS_PER_TASK", 100)
+    split = resample.bootstrap(icu, IDS, 3)
+    assert "REPARTITION_BY_NUM" in split._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, split.collect())) == usual
+
+
 def test_sample_and_hot_deck(icu):
     assert resample.sample_exact(icu, IDS, 77).count() == 77
     assert resample.sample_exact(icu, IDS, 1000).count() == 240
