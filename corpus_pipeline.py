@@ -24,7 +24,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles are at least 0.8 similar stays, the one with the smallest id."""
+    """One document of each component of texts whose five-word shingles are at least 0.8 similar stays, the one with the smallest id.
+
+    Fingerprints find the links first, an exact join those they miss."""
     return drop_near_copies(docs)
 
 

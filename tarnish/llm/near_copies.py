@@ -1,4 +1,4 @@
-"""Near copies: an exact join of texts whose sets of five-word shingles are similar."""
+"""Near copies: SimHash links checked by five-word shingles, then an exact join of the texts still apart."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnish.llm.common import packed_key, small_batches, staged, text_of
-from tarnish.llm.simhash import components
+from tarnish.llm.simhash import components, fingerprint_column, near_pairs
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts of a shingle that more than this hold are first compared with a few of them, and pair by pair only where that leaves them apart.
@@ -155,12 +155,13 @@ def _fits(a: str, b: str, least: float) -> Column:
 def similar_components(texts: DataFrame, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """``u, root`` over the distinct texts ``node, digest, text``: the smallest node that pairs of similar texts reach.
 
-    Texts that share a prefix shingle are candidates. Of a shingle with many texts, these are first
-    compared with one of them, then those still apart with a few more, so that a large group of near
-    copies grows together without all its pairs; then every candidate pair that is still apart is
-    compared.
+    First the texts that operator 6 links by their fingerprints are compared by all their shingles; a
+    link of texts less similar does not count. Fingerprints within its radius are rarer than similar
+    texts, so an exact join finds the rest: texts that share a prefix shingle are candidates. Of a
+    shingle with many texts, those still apart are first compared with one of them, then with a few
+    more, so that a large group of near copies grows together without all its pairs; then every
+    candidate pair that is still apart is compared.
     """
-    shared = staged(_shared(staged(_prefixes(texts, least))))
     done = links = roots = None
 
     def compare(pairs: DataFrame) -> int:
@@ -174,6 +175,8 @@ def similar_components(texts: DataFrame, least: float = SIMILARITY, hot: int = H
             roots = staged(components(links))
         return grown
 
+    compare(near_pairs(texts.select(F.col("node").alias("id"), fingerprint_column("text").alias("fp"))))
+    shared = staged(_shared(staged(_prefixes(texts, least))))
     for k, stars in enumerate(ROUNDS if shared.filter(F.col("met") > hot).limit(1).count() else ()):
         large = _rooted(shared.filter(F.col("met") > hot), roots)
         # a few texts of each shingle are found by partial aggregation, so no task holds all its texts

@@ -217,6 +217,19 @@ def near_edges(prints: DataFrame, compared: int = COMPARED) -> DataFrame:
         level = again.select("fp", F.col("child").alias("mask")).distinct()
 
 
+def near_pairs(rows: DataFrame, compared: int = COMPARED) -> DataFrame:
+    """``a, b``: pairs of ids of ``id, fp`` that connect what links of fingerprints connect.
+
+    Of equal fingerprints each is paired with the smallest id, and an edge between two fingerprints
+    pairs their smallest ids. So there are at most six pairs a row and level of buckets.
+    """
+    rows = staged(rows)
+    lowest = staged(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    equal = rows.join(lowest, "fp").filter("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    u, v = (lowest.select(F.col("fp").alias(c), F.col("low").alias(to)) for c, to in (("u", "a"), ("v", "b")))
+    return equal.unionByName(near_edges(lowest.select("fp"), compared).join(u, "u").join(v, "v").select("a", "b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``u, root``: the smallest member connected to each u that is not itself the smallest.
 

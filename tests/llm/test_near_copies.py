@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnish.llm.near_copies import _candidates, _levels, _prefixes, _shared, drop_near_copies, shingles
+from tarnish.llm import near_copies
+from tarnish.llm.near_copies import _candidates, _levels, _prefixes, _shared, drop_near_copies, shingles, similar
+from tarnish.llm.simhash import fingerprint, near_pairs
 
 
 def plain_kept(rows):
@@ -107,3 +109,45 @@ def test_short_texts_of_one_repeated_word(spark):
     """Five equal words and six are the same set of shingles."""
     rows = spark.createDataFrame([(1, "a a a a a"), (2, "a a a a a a"), (3, "a a a a")], "doc_id long, text string")
     assert {r["doc_id"] for r in drop_near_copies(rows).collect()} == {1, 3}
+
+
+def test_fingerprints_link(spark, monkeypatch):
+    """Near copies are found by operator 6's fingerprints before any shingle is joined; links less similar than 0.8 do not count."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows += [" ".join(words), changed(rng, words, 1), " ".join(words).upper()]
+    rows += ["x y z", "x  y Z", "", " "]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    prints = {i: fingerprint(text) % (1 << 64) for i, text in enumerate(rows)}
+    sets = {i: shingles(text) for i, text in enumerate(rows)}
+    label = {i: i for i in prints}
+    for i, j in ((i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 4):
+        if similar(sets[i], sets[j]):
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if r == high else r for k, r in label.items()}
+    want = {i for i, r in label.items() if i == r}
+    assert 40 < len(rows) - len(want)
+    nothing = spark.createDataFrame([], "h long, node long, n int")
+    monkeypatch.setattr(near_copies, "_prefixes", lambda texts, least: nothing)
+    assert {r["doc_id"] for r in drop_near_copies(docs).collect()} == want
+
+
+def test_pairs_of_fingerprints(spark):
+    """The pairs connect what brute force connects, equal fingerprints too."""
+    rng = random.Random(4)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += [p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for p in prints for _ in range(3)] + prints[:5]
+    signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    pairs = [(r["a"], r["b"]) for r in near_pairs(spark.createDataFrame(signed, "id long, fp long"), compared=4).collect()]
+
+    def parts(pairs):
+        label = list(range(len(prints)))
+        for i, j in pairs:
+            low, high = sorted((label[i], label[j]))
+            label = [low if r == high else r for r in label]
+        return label
+
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert parts(pairs) == parts(near) and len(set(parts(near))) <= 40
