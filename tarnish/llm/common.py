@@ -38,11 +38,12 @@ def packed_key(id_column: Column, digest: Column) -> Column:
     return F.concat(digest, F.coalesce(F.concat(F.lit("="), id_column.cast("string")), F.lit("-")))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers take at most ``rows`` texts at a time: Spark's 10,000 are too many where
-    texts are long. A smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(name, str(min(rows, int(spark.conf.get(name)))))
+def small_batches(spark: SparkSession, rows: int = 1000, read: int = 512) -> None:
+    """Let Python workers take at most ``rows`` texts at a time and Parquet scans ``read``: Spark's
+    10,000 and 4,096 are too many where texts are long, as a batch of a scan is one array of many
+    megabytes on the heap. Smaller settings of the session stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", read)):
+        spark.conf.set(name, str(min(most, int(spark.conf.get(name)))))
 
 
 def staged_by(df: DataFrame, column: str, buckets: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnish.llm.common import WHITE, packed_key, staged, text_of
+from tarnish.llm.common import WHITE, packed_key, small_batches, staged, text_of
 
 #: How many runs one round merges into one.
 FAN_IN = 16
@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text count one by one in ``group_size`` and exactly one of them is kept. An empty table
     gives an empty result. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     leaf = staged(
         docs.select(docs[id_col].alias("id"), *_digests(docs, text_col), F.monotonically_increasing_id().alias("row"))
     ).withColumn("run", F.shiftright("row", 33))

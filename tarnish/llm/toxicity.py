@@ -263,13 +263,20 @@ def fit_toxicity(
 # -------------------------------------------------------------------- scoring
 
 
-def toxicity_column(shared: Broadcast, text: Column) -> Column:
-    """The score of a text, 0 to 1, by a broadcast :class:`Scorer`."""
+def _scored(scorer: Scorer, columns: Iterator[pd.Series], forget: bool) -> Iterator[pd.Series]:
+    for column in columns:
+        yield pd.Series(scorer.scores(column.tolist()))
+    if forget:
+        scorer.cache.clear()
+
+
+def toxicity_column(shared: Broadcast, text: Column, forget: bool = False) -> Column:
+    """The score of a text, 0 to 1, by a broadcast :class:`Scorer`. With ``forget`` a task leaves no
+    cached words in its Python worker, which stays when the task is over."""
 
     @F.pandas_udf("double")
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in columns:
-            yield pd.Series(shared.value.scores(column.tolist()))
+        yield from _scored(shared.value, columns, forget)
 
     return run(text)
 
@@ -297,13 +304,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns.
 
-    They are written once, so that the model leaves the workers before later stages run. Null and
+    They are written once, and tasks forget the words they met, so that model and words leave the
+    workers before later stages run. Null and
     empty texts score like no evidence, rows with null or repeated ids are judged one by one, an
     empty table stays empty, and columns of any name pass through.
     """
     small_batches(docs.sparkSession)
     scorer = fit_toxicity(docs, labels, id_col, text_col, **limits)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    kept = staged(docs.filter(toxicity_column(shared, text_of(docs, text_col)) < THRESHOLD))
+    kept = staged(docs.filter(toxicity_column(shared, text_of(docs, text_col), forget=True) < THRESHOLD))
     shared.destroy()
     return kept

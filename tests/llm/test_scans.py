@@ -5,11 +5,16 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tarnish.llm import toxicity
+from tarnish.llm.common import small_batches
 from tarnish.llm.decontaminate import drop_leaks, find_leaks
+from tarnish.llm.exact_dedup import drop_copies
 from tarnish.llm.html_text import extract_html, visible_text
 from tarnish.llm.license_rules import RULES, STEMS, WEIGHTS
 from tarnish.llm.license_scan import BASE, license_scan
@@ -325,3 +330,33 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in last.collect()} == set(before)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == set(before)
+
+
+def test_texts_come_in_small_batches(spark):
+    """Exact dedup and the others read few long texts at a time; a smaller setting of the session stays."""
+    names = ["spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = [spark.conf.get(name) for name in names]
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b")], "doc_id long, text string")
+    try:
+        spark.conf.set(names[0], "4096")
+        assert [r["doc_id"] for r in drop_copies(docs).collect()] == [1]
+        assert spark.conf.get(names[0]) == "512"
+        for name in names:
+            spark.conf.set(name, "7")
+        small_batches(spark)
+        assert [spark.conf.get(name) for name in names] == ["7", "7"]
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def test_pipeline_tasks_forget_words():
+    """What a task of the pipeline has cached of words is gone when it ends; op 2's tasks hand it on."""
+    key = np.array([toxicity.events_of("bad")[-1]], dtype=np.uint64)
+    one = np.array([5])
+    scorer = toxicity.Scorer(toxicity.Model(key, np.zeros(1, dtype=np.uint64), one, 0 * one, 5, 5, 2.0), np.array([0.0, 1.0, 0.0]))
+    texts = [pd.Series(["a bad word", "good"])]
+    kept = list(toxicity._scored(scorer, iter(texts), False))
+    assert set(scorer.cache) == {"a", "bad", "word", "good"}
+    forgotten = list(toxicity._scored(scorer, iter(texts), True))
+    assert not scorer.cache and kept[0].tolist() == forgotten[0].tolist() and kept[0][0] > kept[0][1]
