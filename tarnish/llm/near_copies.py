@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnish.llm.common import packed_key, small_batches, staged, text_of
 from tarnish.llm.simhash import components, fingerprint_column, near_pairs
+from tarnish.session import staged_alone
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts of a shingle that more than this hold are first compared with a few of them, and pair by pair only where that leaves them apart.
@@ -22,6 +23,9 @@ ROUNDS = (1, 5)
 COUNTERS = 1 << 20
 #: Nodes of candidate pairs, eight bytes each, that may be sent to all tasks; more are joined by a shuffle of all texts.
 SMALL = 1 << 20
+#: Share of a text's shingles that prefixes hold beyond what one common shingle needs, so that as many
+#: common ones can be left out once they are counted; less than any similarity asked for.
+SPARE = 0.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +63,8 @@ def _levels(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
         slot = np.flatnonzero(counts)
         yield pd.DataFrame({"slot": slot.astype(np.int32), "n": counts[slot]})
 
-    sums = texts.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    # staged, so that the counters of all tasks do not stay on the disk as shuffle files
+    sums = staged(texts.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))).toArrow()
     counts = np.zeros(counters)
     counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
     usual = np.median(counts)  # common shingles raise the mean, not this
@@ -68,10 +73,10 @@ def _levels(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """``h, node, n``: the shingles of each text of which a similar text must hold one.
+    """``h, node, n``: the shingles of each text of which a similar text must hold some.
 
-    In any order of all shingles, common ones last, two sets of similarity ``least`` share one of
-    the first n - ceil(least * n) + 1 of either.
+    In any order of all shingles, common ones last, two sets of similarity ``least`` share k of
+    the first n - ceil(least * n) + k of either; here k is a tenth of n (``_spare``).
     """
     levels = texts.sparkSession.sparkContext.broadcast(_levels(texts))
 
@@ -83,7 +88,7 @@ def _prefixes(texts: DataFrame, least: float) -> DataFrame:
                 own = shingles(text)
                 n = len(own)
                 own = own[np.argsort(level[(own % np.uint64(len(level))).astype(np.int64)], kind="stable")]
-                first.append(own[: n - int(np.ceil(least * n - 1e-9)) + 1])
+                first.append(own[: n - int(np.ceil(least * n - 1e-9)) + max(1, int(SPARE * n))])
                 sizes.append(n)
                 lengths.append(len(first[-1]))
             if first:
@@ -121,30 +126,43 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _spare(n: str) -> Column:
+    """How many shingles the prefix of a text of ``n`` shingles has beyond n - ceil(least * n)."""
+    return F.greatest(F.lit(1), F.floor(F.lit(SPARE) * F.col(n)))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """``h, node, n, met, weight``: shingles that ``met`` texts hold, met > 1. Of shingles with the
-    same texts one stays, with their number as ``weight``."""
+    """``h, node, n, met, weight, rest``: shingles that ``met`` texts hold, met > 1. Of shingles with the
+    same texts one stays, with their number as ``weight``. ``rest`` is the weight of a text's
+    shingles from this one on, when those that few texts hold come first.
+
+    Prefixes that share as much as they must share a shingle that is not among the last of either, so
+    most texts that meet others only by chance or by a common line drop out here.
+    """
+    again = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("h"))
+    rows = staged(rows.join(again, "h", "left_semi"))
     who = F.xxhash64("node")
     met = rows.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.bit_xor(who).alias("who"), F.min(who).alias("low"), F.max(who).alias("high"))
-    met = met.filter("met > 1").groupBy("met", "who", "low", "high").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight"))
-    return rows.join(staged(met.select("h", "met", "weight")), "h")
+    met = met.groupBy("met", "who", "low", "high").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("weight"))
+    common_first = Window.partitionBy("node").orderBy(F.col("met").desc(), F.col("h").desc())
+    shared = rows.join(staged(met.select("h", "met", "weight")), "h").withColumn("rest", F.sum("weight").over(common_first))
+    return shared.filter(F.col("rest") >= _spare("n") - 1)  # 1: what rounding may take off
 
 
 def _candidates(shared: DataFrame, least: float) -> DataFrame:
     """``a, b``: pairs of texts with different roots that may be similar by what their prefixes share.
 
-    Of two sets, let a's prefix end first in the common order. What they share up to there stands in
-    both prefixes, and beyond it a has ceil(least * n) - 1 shingles. So the shared prefix shingles
-    and the larger of these rests must reach the overlap of similar sets: of texts of equal length
-    some nine in a hundred shingles must be shared in the prefixes, one common line is not enough.
+    Similar sets share ceil(least / (1 + least) * (n + m)) shingles. A prefix leaves out the last
+    ceil(least * n) - ``_spare(n)`` in the common order, so the prefixes share all but the larger of
+    these two numbers. Of what they share the rarest is followed by all the rest in both texts, so pairs meet
+    only at shingles with that much ``rest``: of texts of equal length nine in a hundred and the spare
+    ones. One common line is not enough, and texts a little less similar meet at few shingles.
     """
-    sides = [shared.select("h", "weight", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("root").alias(f"{c}_root")) for c in "ab"]
-    pairs = sides[0].join(sides[1].drop("weight"), "h")
-    pairs = pairs.filter((F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & _fits("a_n", "b_n", least))
-    pairs = pairs.groupBy("a", "b", "a_n", "b_n").agg(F.sum("weight").alias("both"))
-    rest = F.ceil(least * F.greatest("a_n", "b_n") - 1e-9) - 1
-    overlap = F.ceil(least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-6)
-    return pairs.filter(F.col("both") + rest >= overlap).select("a", "b")
+    sides = [shared.select("h", *[F.col(x).alias(f"{c}_{x}") for x in ("rest", "n", "root")], F.col("node").alias(c)) for c in "ab"]
+    cut = F.greatest(*[F.ceil(least * F.col(n) - 1e-9) - _spare(n) for n in ("a_n", "b_n")])
+    both = F.ceil(least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-6) - cut
+    apart = (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & _fits("a_n", "b_n", least)
+    return sides[0].join(sides[1], "h").filter(apart & (F.least("a_rest", "b_rest") >= both)).select("a", "b").distinct()
 
 
 def _fits(a: str, b: str, least: float) -> Column:
@@ -162,21 +180,23 @@ def similar_components(texts: DataFrame, least: float = SIMILARITY, hot: int = H
     more, so that a large group of near copies grows together without all its pairs; then every
     candidate pair that is still apart is compared.
     """
-    done = links = roots = None
+    spark = texts.sparkSession
+    done = roots = None
 
     def compare(pairs: DataFrame) -> int:
-        nonlocal done, links, roots
+        nonlocal done, roots
         pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         pairs = staged(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"))
         found = staged(_verified(pairs, texts, least))
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
         if grown := found.count():
-            roots = staged(components(links))
+            # what was linked before is as well connected by its roots
+            known = found if roots is None else found.unionByName(roots.select("u", F.col("root").alias("v")))
+            roots = staged_alone(spark, lambda: components(known))
         return grown
 
     compare(near_pairs(texts.select(F.col("node").alias("id"), fingerprint_column("text").alias("fp"))))
-    shared = staged(_shared(staged(_prefixes(texts, least))))
+    shared = staged_alone(spark, lambda: _shared(staged(_prefixes(texts, least))))
     for k, stars in enumerate(ROUNDS if shared.filter(F.col("met") > hot).limit(1).count() else ()):
         large = _rooted(shared.filter(F.col("met") > hot), roots)
         # a few texts of each shingle are found by partial aggregation, so no task holds all its texts
@@ -190,7 +210,7 @@ def similar_components(texts: DataFrame, least: float = SIMILARITY, hot: int = H
     open_ = left.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
     left = left.join(open_, "h", "left_semi")
     compare(_candidates(left, least))
-    return links.select("u", F.col("v").alias("root")) if roots is None else roots
+    return spark.createDataFrame([], "u long, root long") if roots is None else roots
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
@@ -205,10 +225,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(docs.sparkSession)
     digest = F.sha2(text_of(docs, text_col), 256)
     rows = docs.select(docs[id_col].alias("id"), digest.alias("digest"), text_of(docs, text_col).alias("text"))
-    texts = rows.groupBy("digest").agg(F.first("text").alias("text")).withColumn("node", F.monotonically_increasing_id())
-    texts = staged(texts.select("node", "digest", "text"))
-    roots = similar_components(texts, least, hot)
-    placed = staged(_rooted(texts.select("node", "digest"), roots).select("digest", "root"))
+
+    def place() -> DataFrame:
+        texts = rows.groupBy("digest").agg(F.first("text").alias("text")).withColumn("node", F.monotonically_increasing_id())
+        texts = staged(texts.select("node", "digest", "text"))
+        return _rooted(texts.select("node", "digest"), similar_components(texts, least, hot)).select("digest", "root")
+
+    placed = staged_alone(docs.sparkSession, place)
     first = F.row_number().over(Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest"))
     lowest = rows.groupBy("digest").agg(F.min("id").alias("id")).join(placed, "digest")
     kept = lowest.withColumn("place", first).filter("place = 1").select(packed_key(F.col("id"), F.col("digest")).alias("key"))

@@ -151,3 +151,34 @@ def test_pairs_of_fingerprints(spark):
 
     near = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
     assert parts(pairs) == parts(near) and len(set(parts(near))) <= 40
+
+
+def test_a_shared_line_is_not_enough(spark):
+    """Texts that share a line with a few others, too few for the counters to see, drop out before pairs are made."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(90):
+        line = " ".join(f"line{i // 3}x{j}" for j in range(7))
+        rows.append(line + " " + " ".join(f"w{rng.randrange(10**7)}" for _ in range(100)))
+    rows.append(changed(rng, rows[0].split(), 1))
+    texts = spark.createDataFrame(list(enumerate(rows)), "node long, text string").repartition(4)
+    shared = _shared(_prefixes(texts, 0.8))
+    assert {r["node"] for r in shared.collect()} == {0, 90}
+    pairs = _candidates(shared.withColumn("root", F.col("node")), 0.8).collect()
+    assert [(r["a"], r["b"]) for r in pairs] == [(90, 0)]
+
+
+def test_short_texts_of_all_sizes(spark):
+    """No pair is lost where the rounded lengths of prefixes do not grow with the text."""
+    rng = random.Random(7)
+    rows = []
+    for size in range(5, 65):
+        words = [f"s{size}w{i}" for i in range(size)]
+        rows += [" ".join(words[: size - cut]) for cut in range(1 + size // 4)] + [changed(rng, words, 1)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    found = _candidates(_shared(_prefixes(texts, 0.8)).withColumn("root", F.col("node")), 0.8).collect()
+    sets = [shingles(text) for text in rows]
+    want = {(a, b) for a in range(len(rows)) for b in range(a) if similar(sets[a], sets[b])}
+    assert len(want) > 500 and want <= {(r["a"], r["b"]) for r in found}
+    assert {r["doc_id"] for r in drop_near_copies(docs).collect()} == plain_kept(docs.collect())[0]
