@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ TELLING = 0.01
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 _CACHE = 1 << 18
+_MARKS = [(n, b"%d " % n) for n in reversed(PREFIXES)]
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,7 +44,12 @@ def _hash(event: str) -> int:
 
 def events_of(word: str) -> list[int]:
     """Keys of a word's events, the coarsest first: prefixes, then the word."""
-    return [_hash(f"{n} {word[:n]}") for n in reversed(PREFIXES) if len(word) > n] + [_hash(word)]
+    if not word.isascii():
+        return [_hash(f"{n} {word[:n]}") for n in reversed(PREFIXES) if len(word) > n] + [_hash(word)]
+    letters, size = word.encode(), len(word)  # letters are bytes: encoded once for all prefixes
+    keys = [xxhash.xxh64_intdigest(mark + letters[:n]) for n, mark in _MARKS if size > n]
+    keys.append(xxhash.xxh64_intdigest(letters))
+    return keys
 
 
 def pair_keys(hashes: np.ndarray) -> np.ndarray:
@@ -171,20 +178,15 @@ class Model:
             ratios[known] = self._ratio(*self.single_parts[at[known]].T, ratios[known])
         return events[:, -1], ratios
 
-    def features(self, texts, cache: dict) -> np.ndarray:
+    def features(self, texts, cache: WordCache) -> np.ndarray:
         """Length-normalised log-likelihood ratio of each text, and of its most telling tokens."""
         out = np.zeros((len(texts), 2))
         for row, text in enumerate(texts):
             words = words_of(text)
             if not words:
                 continue
-            if len(cache) > _CACHE:
-                cache.clear()
-            new = [w for w in set(words) if w not in cache]
-            cache.update(zip(new, zip(*(column.tolist() for column in self.words(new)))))
-            both = [cache[w] for w in words]
-            hashes = np.fromiter((b[0] for b in both), dtype=np.uint64, count=len(both))
-            ratios = np.fromiter((b[1] for b in both), dtype=float, count=len(both))
+            at = cache.places(words, self)
+            hashes, ratios = cache.hashes[at], cache.ratios[at]
             at, known = self._find(self.pairs, pair_keys(hashes))
             hit = np.flatnonzero(known)
             ratios[hit + 1] = self._ratio(*self.pair_parts[at[hit]].T, ratios[hit + 1])
@@ -193,6 +195,36 @@ class Model:
         return out
 
 
+class WordCache(dict):
+    """Places of the words met in two arrays, their keys and log ratios; past ``_CACHE`` words it starts anew."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.hashes, self.ratios = np.zeros(0, dtype=np.uint64), np.zeros(0)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+    def places(self, words: list[str], model: Model) -> np.ndarray:
+        """The place of each word; those of new words are filled from the model."""
+        if len(self) > _CACHE:
+            self.clear()
+        known = len(self)
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self) > known:
+            new = list(islice(reversed(self), len(self) - known))[::-1]
+            if len(self) > len(self.hashes):
+                room = 2 * len(self) - len(self.hashes)
+                self.hashes = np.concatenate([self.hashes, np.zeros(room, dtype=np.uint64)])
+                self.ratios = np.concatenate([self.ratios, np.zeros(room)])
+            self.hashes[known : len(self)], self.ratios[known : len(self)] = model.words(new)
+        return at
+
+
 def fit_logistic(features: np.ndarray, target: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     x = np.column_stack([np.ones(len(features)), features])
     weights = np.zeros(x.shape[1])
@@ -208,7 +240,7 @@ def fit_logistic(features: np.ndarray, target: np.ndarray, ridge: float = 0.1) -
 
 class Scorer:
     def __init__(self, model: Model | None, weights: np.ndarray):
-        self.model, self.weights, self.cache = model, weights, {}
+        self.model, self.weights, self.cache = model, weights, WordCache()
 
     def scores(self, texts) -> np.ndarray:
         features = self.model.features(texts, self.cache) if self.model else np.zeros((len(texts), 2))
@@ -249,7 +281,7 @@ def fit_toxicity(
         out = np.zeros((len(text), 2))
         for f, model in enumerate(shared.value):
             own = (fold == f).to_numpy()
-            out[own] = model.features(text[own].tolist(), {})
+            out[own] = model.features(text[own].tolist(), WordCache())
         return pd.Series(list(out))
 
     found = unseen("text", "fold")

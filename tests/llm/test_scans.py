@@ -360,3 +360,24 @@ def test_pipeline_tasks_forget_words():
     assert set(scorer.cache) == {"a", "bad", "word", "good"}
     forgotten = list(toxicity._scored(scorer, iter(texts), True))
     assert not scorer.cache and kept[0].tolist() == forgotten[0].tolist() and kept[0][0] > kept[0][1]
+
+
+def test_known_words_are_not_looked_up_again(monkeypatch):
+    """Scores are those of words looked up one by one, also when the cache starts anew; known words cost no lookup."""
+    words = ["good", "bad", "naïve", "prefixes", "prefix", "pre"]
+    hashes = np.array([toxicity._hash(w) for w in words], dtype=np.uint64)
+    counts = np.array([3.0, 30, 9, 8, 20, 5])
+    pair = toxicity.pair_keys(hashes[:2])
+    keys, before = np.concatenate([hashes, pair]), np.array([0] * 6 + [hashes[0]], dtype=np.uint64)
+    model = toxicity.Model(keys, before, np.append(counts, 9), np.append(counts[::-1], 3), 40, 40, 2.0)
+    calls = []
+    look_up = toxicity.Model.words
+    monkeypatch.setattr(toxicity.Model, "words", lambda self, new: calls.append(list(new)) or look_up(self, new))
+    texts = ["good bad naïve", "bad good bad", "", "prefixes pre bad unseen", "pre prefix good"]
+    scorer = toxicity.Scorer(model, np.array([0.1, 1.0, 0.5]))
+    scores = scorer.scores(texts).tolist()
+    assert calls == [["good", "bad", "naïve"], ["prefixes", "pre", "unseen"], ["prefix"]]
+    assert scores == [toxicity.Scorer(model, scorer.weights).scores([t])[0] for t in texts]
+    monkeypatch.setattr(toxicity, "_CACHE", 1)
+    assert scorer.scores(texts).tolist() == scores
+    assert toxicity.events_of("prefixes") == [toxicity._hash(f"{n} {'prefixes'[:n]}") for n in (3, 4, 5, 6, 7)] + [toxicity._hash("prefixes")]
