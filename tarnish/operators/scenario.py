@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.operators.cells import Degraded
+from tarnish.operators.cells import Degraded, each_cell
 from tarnish.operators.degrade import OPERATORS, DegradationOp
 from tarnish.operators.resample import SEED_DEGRADE_TEST, SEED_DEGRADE_TRAIN, key_of
 from tarnish.session import staged
@@ -83,7 +83,7 @@ def scenario_cells(degraded: Mapping[str, Degraded], spec: TableSpec) -> DataFra
             )
             for c in spec.predictors
         ]
-        long = result.work.select("replicate", "side", F.col("__row").alias("row_id"), F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        long = each_cell(result.work, ["replicate", "side", F.col("__row").alias("row_id")], cells)
         each = long.withColumn("s", F.explode(scenarios)).filter(F.col("s.of") == F.col("side"))
         part = each.select("s.scenario", F.lit(name).alias("operator"), "replicate", "side", "row_id", "cell.column", "cell.after")
         out = part if out is None else out.unionByName(part)

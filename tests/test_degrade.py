@@ -221,3 +221,45 @@ def test_copies_keep_the_rows_of_repeated_ids(spark):
     df = spark.createDataFrame([(i % 200, float(i % 7), float(i % 11)) for i in range(400)], "id long, a double, b double")
     out = degrade.uniqueness(df, spec, 0.2, 5)
     assert out.df.count() == 400 and out.touched.count() > 0
+
+
+def test_swaps_are_picked_by_plain_comparisons(icu):
+    """What is taken of the options that share cells, against a greedy loop over all of them."""
+    spec, work = ICU_COHORT, degrade.open_cells(icu, ICU_COHORT)
+    listed = degrade.with_swaps(work, spec, 4)
+    assert "lambda" not in listed._jdf.queryExecution().analyzed().toString()
+    options = degrade._swap_options(spec)
+    lightest = min(rate for _, _, rate in options)
+    every = {}
+    for i, (a, b, rate) in enumerate(options):
+        u = degrade.unit(degrade.wide_bits(degrade.digest(4, F.col("__row"), f"{a}~{b}")))
+        every[f"all_{i}"] = F.when(F.col(a) != F.col(b), degrade.exponential_rank(u, F.lit(rate), lightest))
+    got = listed.withColumns(every).collect()
+    assert any(r[c] is not None for r in got for c in degrade.swap_columns(spec))
+    for r in got:
+        used, kept = set(), set()
+        for key, tie, i in sorted((r[f"all_{i}"], f"{a}~{b}", i) for i, (a, b, _) in enumerate(options) if r[f"all_{i}"] is not None):
+            if not used & set(options[i][:2]):
+                used |= set(options[i][:2])
+                kept.add((i, key))
+        assert kept == {(i, r[c]) for i, c in enumerate(degrade.swap_columns(spec)) if r[c] is not None}
+
+
+def test_copies_pair_only_rows_in_reach(icu, monkeypatch):
+    """Rows that the budget cannot reach are not paired; should too few be, more are."""
+    sizes, follow = [], degrade.follow_donors
+
+    def counted(pairs, groups=()):
+        sizes.append(pairs.count())
+        return follow(pairs, groups)
+
+    def touched():
+        return sorted(map(str, degrade.uniqueness(icu, ICU_COHORT, 0.1, 4).touched.collect()))
+
+    monkeypatch.setattr(degrade, "follow_donors", counted)
+    usual = touched()
+    assert usual and sizes[0] < N / 2 and len(sizes) == 1
+    for slack in (0.3, 100.0):
+        monkeypatch.setattr(degrade, "COPY_SLACK", slack)
+        assert touched() == usual
+    assert max(sizes) > N / 2 and len(sizes) > 3
